@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from combline.operators.grid import FILLED, regular_grid
+from combline.operators.instants import normalise_instants, stamp_rows
+from combline.operators.outliers import implausible
 from combline.operators.rolling import trailing_totals
+from combline.operators.spatial import near_pairs
 from combline.operators.standing import standing
 
 
@@ -39,6 +42,30 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_trailing(spark, d).where(low).select(*COLONY, F.date_format("day", "yyyy-MM-dd").alias("obs_day"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = stamp_rows(_table(spark, d, "sensor_raw"), "raw_id", "ts_raw", "sensor").unionByName(
+        stamp_rows(_table(spark, d, "weather_raw"), "wraw_id", "clock_time", "weather", day="observed_date")
+    )
+    return normalise_instants(rows).select(F.col("source").alias("raw_table"), "row_id", "epoch_s")
+
+
+#: What the three measures can be.
+BOUNDS = {"weight_kg": (0.45, 136.08), "internal_temp_f": (32.0, 120.0), "internal_humidity_pct": (0.0, 100.0)}
+
+
+def p5_implausible(spark: SparkSession, d: str) -> DataFrame:
+    return implausible(standing_readings(spark, d, list(BOUNDS)), ("hive_id", "colony_side"), "ts_epoch", "reading_id", BOUNDS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_implausible(spark, d).select("reading_id", "field_name").distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_pairs(_table(spark, d, "hive_sites"), "hive_id", "latitude", "longitude", 1.0)
+    return pairs.select(F.col("id_a").alias("hive_id_a"), F.col("id_b").alias("hive_id_b"))
+
+
 _STANDING = """standing AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hive_id, colony_side, ts_epoch ORDER BY reading_id) AS nth FROM sensor_readings
                  WHERE hive_id IS NOT NULL AND colony_side IS NOT NULL AND ts_epoch IS NOT NULL AND reading_id IS NOT NULL) WHERE nth = 1)"""
@@ -58,5 +85,41 @@ rolled AS (SELECT *, sum(s) OVER week AS s7, sum(n) OVER week AS n7, sum(s) OVER
   WINDOW week AS (PARTITION BY hive_id, colony_side ORDER BY day ROWS 6 PRECEDING), month AS (PARTITION BY hive_id, colony_side ORDER BY day ROWS 29 PRECEDING))
 SELECT hive_id, colony_side, strftime(day, '%Y-%m-%d') AS obs_day FROM rolled WHERE n7 > 0 AND s7 / n7 < 0.96 * (s30 / n30)"""
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
-SQL = {"p1_found": _P1, "p7_found": _P7}
+_P6 = """WITH sites AS (SELECT DISTINCT hive_id, latitude AS y, longitude AS x FROM hive_sites
+  WHERE hive_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)
+SELECT a.hive_id AS hive_id_a, b.hive_id AS hive_id_b FROM sites a JOIN sites b ON a.hive_id < b.hive_id
+  AND abs(a.y - b.y) < 0.02
+  AND 2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2)
+        + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) <= 1.0"""
+
+# levels: medians of up to five readings within six hours before and after a stretch of one to three readings
+_P5 = f"""WITH {_STANDING},
+long AS (SELECT hive_id, colony_side, ts_epoch AS t, reading_id AS id, unnest(['weight_kg', 'internal_temp_f', 'internal_humidity_pct']) AS field_name,
+                unnest([weight_kg, internal_temp_f, internal_humidity_pct]) AS v FROM standing),
+vals AS (SELECT * FROM long WHERE v IS NOT NULL),
+runs0 AS (SELECT *, lag(v) OVER w AS pv, lag(t) OVER w AS pt FROM vals WINDOW w AS (PARTITION BY hive_id, colony_side, field_name ORDER BY t)),
+runs1 AS (SELECT *, sum(CASE WHEN v = pv AND t - pt <= 172800 THEN 0 ELSE 1 END) OVER (PARTITION BY hive_id, colony_side, field_name ORDER BY t) AS run,
+                 CASE WHEN t - pt <= 172800 THEN round(abs(v - pv), 6) END AS step FROM runs0),
+frozen AS (SELECT id, field_name FROM runs1 QUALIFY count(*) OVER (PARTITION BY hive_id, colony_side, field_name, run) >= 8),
+bounds AS (SELECT id, field_name FROM vals WHERE CASE field_name WHEN 'weight_kg' THEN v NOT BETWEEN 0.45 AND 136.08
+                  WHEN 'internal_temp_f' THEN v NOT BETWEEN 32 AND 120 ELSE v NOT BETWEEN 0 AND 100 END),
+typical AS (SELECT hive_id, colony_side, field_name, median(step) AS mac FROM runs1 GROUP BY ALL),
+near AS (SELECT hive_id, colony_side, field_name, t, id, v,
+   [lag(CASE WHEN true THEN {{'t': t, 'v': v}} END, 5) OVER w, lag({{'t': t, 'v': v}}, 4) OVER w, lag({{'t': t, 'v': v}}, 3) OVER w, lag({{'t': t, 'v': v}}, 2) OVER w, lag({{'t': t, 'v': v}}, 1) OVER w] AS b,
+   [lead({{'t': t, 'v': v}}, 1) OVER w, lead({{'t': t, 'v': v}}, 2) OVER w, lead({{'t': t, 'v': v}}, 3) OVER w, lead({{'t': t, 'v': v}}, 4) OVER w, lead({{'t': t, 'v': v}}, 5) OVER w] AS a
+   FROM vals WINDOW w AS (PARTITION BY hive_id, colony_side, field_name ORDER BY t)),
+levels AS (SELECT *, list_median(list_transform(list_filter(b, lambda x: x IS NOT NULL AND t - x.t <= 21600), lambda x: x.v)) AS lb,
+                  list_median(list_transform(list_filter(a, lambda x: x IS NOT NULL AND x.t - t <= 21600), lambda x: x.v)) AS la FROM near),
+ahead AS (SELECT *, lead(la, 1) OVER w AS la1, lead(la, 2) OVER w AS la2 FROM levels WINDOW w AS (PARTITION BY hive_id, colony_side, field_name ORDER BY t)),
+cases AS (
+  SELECT hive_id, colony_side, field_name, [id] AS ids, t AS t0, t AS t1, v AS lo, v AS hi, lb, la, b[5].v AS l, a[1].v AS r, [t] AS ts FROM ahead
+  UNION ALL SELECT hive_id, colony_side, field_name, [id], t, a[1].t, least(v, a[1].v), greatest(v, a[1].v), lb, la1, b[5].v, a[2].v, [t, a[1].t] FROM ahead WHERE a[1] IS NOT NULL
+  UNION ALL SELECT hive_id, colony_side, field_name, [id], t, a[2].t, least(v, a[1].v, a[2].v), greatest(v, a[1].v, a[2].v), lb, la2, b[5].v, a[3].v, [t, a[1].t, a[2].t] FROM ahead WHERE a[2] IS NOT NULL),
+offs AS (SELECT *, greatest(lo - greatest(la, lb), least(la, lb) - hi) AS off FROM cases WHERE la IS NOT NULL AND lb IS NOT NULL AND t1 - t0 <= 21600),
+hits AS (SELECT hive_id, colony_side, o.field_name, unnest(ts) AS t FROM offs o JOIN typical USING (hive_id, colony_side, field_name)
+  WHERE off > 0 AND off > 10 * mac AND abs(la - lb) <= off / 2 AND abs(l - lb) <= off / 2 AND abs(r - la) <= off / 2),
+spikes AS (SELECT v.id, v.field_name FROM vals v SEMI JOIN hits h ON v.hive_id = h.hive_id AND v.colony_side = h.colony_side AND v.field_name = h.field_name AND v.t = h.t)
+SELECT id AS reading_id, field_name FROM (SELECT * FROM bounds UNION SELECT * FROM frozen UNION SELECT * FROM spikes)"""
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+SQL = {"p1_found": _P1, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from combline.llm.leakage import leaked_items
 from combline.llm.nearest import match_nearest
+from combline.llm.packing import TOKENIZER, pack, token_counts
 from combline.llm.runs import canonical_texts, collapse_runs, with_canonical
 from combline.operators.standing import standing
 
@@ -49,6 +51,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("hive_id", F.col("first_id").alias("first_obs_id"), F.col("last_id").alias("last_obs_id"), F.col("n").alias("n_obs"))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    packed = pack(token_counts(_table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", 2048)
+    return packed.withColumn("tokenizer", F.lit(TOKENIZER))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"), "doc_id", "text", "item_id", "item_text", 12)
+
+
 _P2 = """WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hive_id, observed_date, clock_time ORDER BY obs_id) AS nth FROM weather_readings) WHERE nth = 1),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hive_id, colony_side, ts_epoch ORDER BY reading_id) AS nth FROM sensor_readings) WHERE nth = 1),
 t AS (SELECT obs_id, hive_id, CAST(observed_date || ' ' || clock_time AS TIMESTAMP) AS wall FROM w),
@@ -56,5 +67,11 @@ near AS (SELECT obs_id, reading_id, row_number() OVER (PARTITION BY obs_id, colo
   FROM t JOIN r ON t.hive_id = r.hive_id AND r.observed_at BETWEEN wall - INTERVAL 45 MINUTE AND wall + INTERVAL 45 MINUTE)
 SELECT obs_id, reading_id FROM near WHERE nth = 1"""
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
-SQL = {"p2_found": _P2}
+_P9 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\u00ad\u200b\u200c\u200d\u2060\ufeff]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p8_pack": p8_pack, "p9_found": p9_found}
+SQL = {"p2_found": _P2, "p9_found": _P9}

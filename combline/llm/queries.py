@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from combline.llm.leakage import leaked_items
 from combline.llm.nearest import match_nearest
 from combline.llm.packing import TOKENIZER, pack, token_counts
+from combline.llm.residue import residue
 from combline.llm.runs import canonical_texts, collapse_runs, with_canonical
 from combline.operators.standing import standing
 
@@ -60,6 +61,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"), "doc_id", "text", "item_id", "item_text", 12)
 
 
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_residue(spark, d).select("doc_id")
+
+
 _P2 = """WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hive_id, observed_date, clock_time ORDER BY obs_id) AS nth FROM weather_readings) WHERE nth = 1),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hive_id, colony_side, ts_epoch ORDER BY reading_id) AS nth FROM sensor_readings) WHERE nth = 1),
 t AS (SELECT obs_id, hive_id, CAST(observed_date || ' ' || clock_time AS TIMESTAMP) AS wall FROM w),
@@ -73,5 +82,5 @@ dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: arr
 ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p8_pack": p8_pack, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
 SQL = {"p2_found": _P2, "p9_found": _P9}

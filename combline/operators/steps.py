@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combline.config import Thresholds
@@ -29,12 +29,12 @@ def with_previous(readings: DataFrame, hours: float, cols: tuple[str, ...] = ("w
 def candidates(readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """Readings that step from the one before. Times are differences on the local clock; a pair with a weight of 0 or less
     is no step, and neither are the readings around it compared."""
-    limit = cfg["events.interval_hours"]
+    limit = cfg["events.max_event_interval_hours"]
     r = with_previous(readings, limit).withColumns({"elapsed": (F.col("wall") - F.col("p_wall")) / 3600.0, "delta": F.col("w") - F.col("p_w")})
     r = r.where((F.col("elapsed") > 0) & (F.col("elapsed") <= limit) & (F.col("p_w") > 0) & (F.col("w") > 0)).withColumn("pct", F.col("delta") / F.col("p_w") * 100)
-    gain = F.col("delta") >= cfg["events.addition_kg"]
-    drop = (F.col("delta") < 0) & (F.abs("pct") >= cfg["events.drop_pct"]) & (F.abs("delta") >= cfg["events.drop_kg"])
-    restless = (F.abs(F.col("t") - F.col("p_t")) >= cfg["events.swarm_temp_f"]) | (F.abs(F.col("h") - F.col("p_h")) >= cfg["events.swarm_humidity_pp"])
+    gain = F.col("delta") >= cfg["events.addition_floor_kg"]
+    drop = (F.col("delta") < 0) & (F.abs("pct") >= cfg["events.harvest_floor_pct"]) & (F.abs("delta") >= cfg["events.harvest_floor_kg"])
+    restless = (F.abs(F.col("t") - F.col("p_t")) >= cfg["events.swarm.temp_swing_f"]) | (F.abs(F.col("h") - F.col("p_h")) >= cfg["events.swarm.humidity_swing_pct"])
     kind = F.when(gain, "addition").when(restless, "swarm").otherwise("harvest")
     return r.where(gain | drop).select("colony_id", "hive_id", "colony_side", "seq", "ts", "wall", kind.alias("kind"), F.col("p_w").alias("before"), F.col("w").alias("after"), "delta", "pct", "elapsed")
 
@@ -42,7 +42,7 @@ def candidates(readings: DataFrame, cfg: Thresholds) -> DataFrame:
 def clustered(steps: DataFrame, cfg: Thresholds) -> DataFrame:
     """steps with cluster: a step joins the one before it if that is at most the confirmation time earlier."""
     w = Window.partitionBy("colony_id").orderBy("seq")
-    far = F.coalesce((F.col("wall") - F.lag("wall").over(w)) / 3600.0 > cfg["events.confirmation_hours"], F.lit(True))
+    far = F.coalesce((F.col("wall") - F.lag("wall").over(w)) / 3600.0 > cfg["events.confirmation_window_hours"], F.lit(True))
     return steps.withColumn("_new", far.cast("int")).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
 
 
@@ -57,7 +57,7 @@ def net_steps(steps: DataFrame, cfg: Thresholds) -> DataFrame:
     one = F.col("steps") == 1
     net = F.when(one, F.col("d.delta")).otherwise(F.col("after") - F.col("before"))
     g = g.withColumn("delta", net).withColumn("pct", F.when(one, F.col("d.pct")).otherwise(F.col("delta") / F.col("before") * 100))
-    large = F.when(F.col("delta") > 0, F.col("delta") >= cfg["events.addition_kg"]).otherwise((F.abs("pct") >= cfg["events.drop_pct"]) & (F.abs("delta") >= cfg["events.drop_kg"]))
+    large = F.when(F.col("delta") > 0, F.col("delta") >= cfg["events.addition_floor_kg"]).otherwise((F.abs("pct") >= cfg["events.harvest_floor_pct"]) & (F.abs("delta") >= cfg["events.harvest_floor_kg"]))
     kind = F.when(one, F.col("d.kind")).when(F.col("delta") > 0, "addition").when((F.col("delta") < 0) & (F.col("d.delta") > 0), "harvest").otherwise(F.col("d.kind"))
     elapsed = F.when(one, F.col("d.elapsed")).otherwise((F.col("w1") - F.col("w0")) / 3600.0)
     return g.where(one | large).select("colony_id", "hive_id", "colony_side", F.col("d.seq").alias("seq"), F.col("d.ts").alias("ts"), F.col("d.wall").alias("wall"), kind.alias("kind"), "before", "after", "delta", "pct", elapsed.alias("elapsed"), "steps")
@@ -65,20 +65,20 @@ def net_steps(steps: DataFrame, cfg: Thresholds) -> DataFrame:
 
 def confirmed(events: DataFrame, readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """Events of which the median weight over the confirmation time keeps the direction and enough of the size."""
-    span = int(cfg["events.confirmation_hours"] * HOUR)
+    span = int(cfg["events.confirmation_window_hours"] * HOUR)
     bucket = lambda c: F.floor(c / span)
-    e = events.select("colony_id", F.col("seq").alias("e_seq"), F.col("wall").alias("e_wall")).withColumn("_b", F.explode(F.array(bucket(F.col("e_wall")), bucket(F.col("e_wall")) + 1)))
+    e = events.select("colony_id", F.col("seq").alias("e_seq"), F.col("wall").alias("e_wall")).withColumn("_b", F.explode(F.array(*(bucket(F.col("e_wall")) + k for k in (-1, 0, 1)))))
     r = readings.where("w > 0").select("colony_id", "seq", "wall", "w", bucket(F.col("wall")).alias("_b"))
     ahead = e.join(r, ["colony_id", "_b"]).where((F.col("seq") >= F.col("e_seq")) & (F.col("wall") - F.col("e_wall") <= span))
     level = ahead.groupBy("colony_id", F.col("e_seq").alias("seq")).agg(F.percentile("w", F.lit(0.5)).alias("level"))
     kept = F.col("level") - F.col("before")
-    ok = (F.col("delta") != 0) & ((kept > 0) == (F.col("delta") > 0)) & (F.abs(kept) >= F.abs("delta") * cfg["events.retention"])
+    ok = (F.col("delta") != 0) & ((kept > 0) == (F.col("delta") > 0)) & (F.abs(kept) >= F.abs("delta") * cfg["events.confirmation_retention"])
     return events.join(level, ["colony_id", "seq"]).where(ok)
 
 
 def corroborated(events: DataFrame, readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """events with corroborated: the other colony of the site reports and has an event at most the given hours away."""
-    span = int(cfg["events.corroboration_hours"] * HOUR)
+    span = int(cfg["events.corroboration_window_hours"] * HOUR)
     bucket = lambda c: F.floor(c / span)
     both = readings.groupBy("hive_id").agg(F.count_distinct("colony_side").alias("sides")).where("sides = 2").select("hive_id")
     other = events.select("hive_id", F.col("colony_side").alias("o_side"), F.col("wall").alias("o_wall")).withColumn("_b", F.explode(F.array(*(bucket(F.col("o_wall")) + k for k in (-1, 0, 1)))))
@@ -88,6 +88,14 @@ def corroborated(events: DataFrame, readings: DataFrame, cfg: Thresholds) -> Dat
     return events.join(hits, ["colony_id", "seq"], "left").withColumn("corroborated", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def described(events: DataFrame) -> Column:
+    """An event in words: kind, direction, size and local time."""
+    kind = F.concat(F.lit("Likely "), F.col("kind"), F.when(F.col("corroborated"), " (corroborated)").otherwise(""))
+    size = F.format_string("%.1f kg (%+.1f%%)", F.abs("delta"), F.col("pct"))
+    when = F.replace(F.timestamp_add("SECOND", F.col("wall"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("string"), F.lit(" "), F.lit("T"))
+    return F.concat(kind, F.lit(": weight "), F.when(F.col("delta") > 0, "gained ").otherwise("dropped "), size, F.lit(" around "), when, F.lit("."))
+
+
 def detect(readings: DataFrame, cfg: Thresholds) -> DataFrame:
     return corroborated(confirmed(net_steps(candidates(readings, cfg), cfg), readings, cfg), readings, cfg)
 

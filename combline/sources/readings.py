@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +24,20 @@ def wall_seconds(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def sequence_of(ts: Column, ord_: Column) -> Column:
+    """One number that orders by ts, then by ord_; of fixed width, so aggregates over it stay hash aggregates."""
+    return (ts.cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)") + ord_.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def readings_of(df: DataFrame) -> DataFrame:
     """Readings of a table with one row per colony side; those without weight, temperature or humidity are left out.
 
-    seq orders a colony's readings: by instant, then by order of arrival. wall is the local clock in seconds.
+    seq orders a colony's readings: by instant, then by order of arrival, in one decimal that holds any two longs. wall is
+    the local clock in seconds.
     """
     out = df.select(
         F.concat_ws(":", "hive_id", "colony_side").alias("colony_id"), "hive_id", "colony_side", F.col("reading_id").alias("ord"), F.col("ts_epoch").alias("ts"),
-        (F.shiftleft("ts_epoch", 31) + F.col("reading_id")).alias("seq"),
+        sequence_of(F.col("ts_epoch"), F.col("reading_id")).alias("seq"),
         wall_seconds(F.col("observed_at")).alias("wall"), F.col("observed_at").cast("date").alias("day"),
         F.col("weight_kg").alias("w"), F.col("internal_temp_f").alias("t"), F.col("internal_humidity_pct").alias("h"), F.col("external_temp_f").alias("et"), F.col("external_humidity_pct").alias("eh"),
     )

@@ -5,67 +5,79 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from combline.llm.messages import ANY, FILL, MARK, NUMBER, SLOT, Judge, judge
+from combline.llm.phrases import HOLLOW, NOTICE
+from combline.operators.heavy import dictionary_join
 from combline.session import written
 
-#: Notations of a slot that was to be filled, and of a value that was missing when it was.
-SLOTS = [
-    r"\{\{[^{}\n]{1,80}\}\}", r"[$#]\{[^{}\n]{1,80}\}", r"<%[^%\n]{1,80}%>", r"\{%[^%\n]{1,80}%\}", r"%\([A-Za-z_.]{1,60}\)[sdif]",
-    r"%[A-Z][A-Z0-9_.]{1,60}%", r"\[\[[^\[\]\n]{1,80}\]\]", r"\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter) [^\]\n]{1,80}\]",
-    r"Â?«[^»\n]{1,60}»", r"<[a-z][a-z_ ]{0,60} here>", r"@@[A-Za-z][A-Za-z0-9_.]{0,60}@@", r"__[A-Z][A-Z0-9_.]{0,60}__",
-    r"\{[A-Za-z_][A-Za-z0-9_.]{0,60}(?::[^{}\"\n]{0,20})?\}", r"\{\d{1,3}\}",
-]
-MARKS = [r"\[object Object\]", r"\bNaN\b", r"\bundefined\b", r"\bnull\b", r"#(?:N/A|REF!|VALUE!|NAME\?|DIV/0!)"]
-#: Words of filler text, pseudo-Latin and typed at random.
-LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua quis nulla augue "
-    "lectus arcu mollis tempus porta velit ornare ornat risus risum placerat placet fermentum fermo mandor vexil vestibulum vel"
-).split()
-TYPED = r"([a-z])\1{2,}|asdf\w*|qwer\w*|zxcv\w*|hjkl\w*|jkl;?|test|blah|foo|bar|baz"
-FILLER = [
-    rf"(?:\b(?:{'|'.join(LATIN)})\b[\s.,;]*){{4,}}",
-    rf"(?:\b(?:{TYPED})(?![\w])[;\s.,]*){{4,}}",
-    r"\b(\p{L}+)(?:\s+\1\b){3,}",
-]
-SLOT, MARK, FILL, NUMBER, ANY = "<S>", "<M>", "<F>", "<N>", "<*>"
-
-#: Phrases of texts that hold the place of a text.
-PLACEHOLDER_TEXT = [
-    r"\b(?:your|the) text (?:goes|comes) here", r"\bbody copy to come", r"\b(?:sample|dummy|placeholder|example) (?:paragraph|text)\b.*\b(?:replace|here|publish)",
-    r"^description of this page", r"^(?:write|enter|insert|put|type) (?:the|your|a) .*\bhere\W*$", r"\bva (?:aquí )?el texto\b", r"\btexto de (?:ejemplo|relleno)\b",
-    r"\bhier steht später\b", r"\bhier (?:steht|kommt|folgt) (?:der|ihr|dein) (?:text|bericht)\b", r"\b(?:platzhalter|blind|muster)text\b", r"\bvotre texte ici\b", r"\btexte (?:à venir|de remplissage)\b",
-]
-#: Phrases of error messages, error pages and notices that scripts are required.
-ERROR = [
-    r"^(?:http )?(?:error|fehler|erreur) ?<n>", r"^<n> (?:not found|forbidden|bad gateway|gateway time-?out|internal server error|service unavailable|unauthorized|bad request|too many requests)",
-    r"<(?:html|head|title|h1|body|center)>", r"^\W*\{ ?\"?error\"? ?:", r"\bstatus\"? ?: ?<n>", r"^traceback \(most recent call", r"^file \"[^\"]*\", line", r"^\w*(?:error|exception): ",
-    r"^(?:fatal |parse )?(?:warning|notice|error): .*\b(?:line|connect|in /)", r"\bcannot connect to (?:the )?database", r"\bupstream\b.*\bconnection", r"\bsomething went wrong",
-    r"\bpage could not be found", r"\bpage (?:was |is )?not found", r"\bpage (?:does not exist|has flown away|has moved)", r"^oops", r"\bno longer available", r"\bmoved or taken down",
-    r"^service (?:is )?(?:temporarily )?unavailable", r"\bperforming maintenance", r"\bcheck back later", r"^too many requests", r"\btry again in <n>", r"^slow down and",
-    r"^access denied", r"\baddress was blocked", r"\byou do not have permission", r"\bsession has expired", r"\bsign in again",
-    r"\b(?:enable|activate|allow|turn on) (?:java)?scripts?\b", r"\bjavascript (?:is|must be) \w+", r"\bneed(?:s)? (?:it|javascript) to run", r"\bscripts? (?:is|are) (?:required|disabled|blocked|needed|switched off|turned off)",
-    r"\bscripts (?:turned|switched) o(?:n|ff)", r"\bnot support (?:java)?scripts?", r"^unsupported browser", r"^checking your (?:connection|browser)", r"^this can take up to", r"^loading ?\.\.\.",
-    r"\bpágina no encontrada", r"\benlace puede estar roto", r"\bactivar javascript", r"\bservicio (?:no disponible|temporalmente)", r"\bacceso denegado", r"\bsesión ha (?:caducado|expirado)",
-    r"\bseite existiert nicht", r"\bseite (?:wurde )?nicht gefunden", r"\baktivieren sie javascript", r"\bprüfen sie die adresse", r"\bzugriff verweigert", r"\bsitzung ist abgelaufen", r"\bdienst\b.*\bnicht (?:verfügbar|erreichbar)",
-    r"\bpage (?:introuvable|demandée n.existe)", r"\bactiver javascript", r"\bservice momentanément indisponible", r"\bmerci de réessayer", r"\baccès refusé", r"\bsession a expiré",
-]
-#: What stands around a page's text, and what follows an error message.
-AROUND = [
-    r"^(?:\w+ [|·»/-] )+\w+$", r"^menu\b", r"^home\b.*\|", r"^back to \w+$", r"^(?:\(c\)|©|copyright)", r"^(?:(?:request|incident|trace) id|reference) ?[:#]", r"^cookies? must be allowed",
-    r"^then reload", r"\ballow them and reload", r"^if the problem persists", r"\bcontact the (?:administrator|site owner)", r"^go back to", r"^(?:week|woche|semana|semaine) <n>$", r"^heading <n>$",
-    r"^it may have been moved",
-]
-#: Words by which a sentence speaks about slots, messages or filler instead of being one.
-ABOUT = r"\b(?:i|my|our|us|says?|said|asked|answered|copied|whenever|quotes?|template|templates|field|fields|placeholders?|variables?|scripts? puts|mail script|exports?|export writes|macro|syntax|proof|in the log)\b"
-
-CONTENT, NOTICE, FRAME, RESIDUE = "content", "error", "frame", "residue"
-_RX = {k: [re.compile(p) for p in v] for k, v in (("placeholder", PLACEHOLDER_TEXT), ("error", ERROR), ("around", AROUND))}
-_ABOUT = re.compile(ABOUT)
-_QUOTED = re.compile(r"[`\"'“”‘’][^`\"“”]*<[SMF]>[^`\"“”]*[`\"'“”‘’]")
-_QUOTE = re.compile(r"[\"“”][^\"“”]{8,}[\"“”]")
+#: From here on a message is taken for a notice or a hollow text at all; and a document of notices for an error page.
+SURE, MOSTLY = 0.66, 0.6
+_MIRROR = str.maketrans("{[(<«", "}])>»")
+_OPEN = re.compile(r"[{\[(<$#%@*|_!~]*[{\[(<%$#@|_«]+[{\[(<$#%@*|_!~]*")
+_NAME = re.compile(r"\$?[^\W\d_][\w.\-:]*\Z")
+_CAPS = re.compile(r"[A-Z][A-Z0-9]*(?:[ _.\-][A-Z0-9]+)*\Z")
+_PHRASE = re.compile(r"[\w][\w .,'’:|\-/]*\Z")
+#: Words by which a bracket asks for something to be put in.
+_ASK = re.compile(r"(?i)(?:please )?(?:insert|enter|your|add|type|put|fill|write|replace|choose|select|todo|tbd|placeholder|inserte?|su|escriba|nombre|einfügen|ihr|ihre|hier|bitte|insérez|insérer|votre|saisir|nom)\b|.* here\Z")
+#: How programs and people write that a value is missing.
+_MARKS = re.compile(r"\[object \w+\]|#(?:N/A|REF!|VALUE!|NAME\?|DIV/0!|NULL!|NUM!)|(?<![\w'’])(?:NaN|undefined|null|NULL|\(null\)|<null>|TBD|TBA|TODO\w*|FIXME\w*|XXX+)(?![\w'’])")
+#: Shapes that may be a slot: taken for one only where other messages of the template have values in their place, or after a label.
+_MAYBE = re.compile(r"(?:None|nil|N/A|n/a|[A-Z]+(?:_[A-Z0-9]+)+|\[\w+\]|<(?!N>)\w+>|«\w+»|\?{3,})[.,;:!?]*\Z")
+_TAGS = re.compile(r"/?(?:a|b|i|p|br|hr|em|ul|ol|li|td|tr|th|h\d|div|img|pre|code|span|html|head|body|title|table|strong|center|script|style|link|meta|form|input|label|button|font)\b.*", re.I)
+
+
+def _is_slot(opener: str, inside: str) -> bool:
+    text = inside.strip()
+    if not any(c.isalnum() for c in text):
+        return False
+    if opener[0] in "{[(<«" and len(opener) > 1 or opener[-1] in "{[(<" and len(opener) > 1:
+        if opener in ("<!", "((", "[[") or opener[-1] == "(":
+            return bool(_NAME.match(text) or _CAPS.match(text) or _ASK.match(text) or (opener == "[[" and _PHRASE.match(text)))
+        return "://" not in text
+    if len(opener) > 1:  # the same marks on both sides, as @@X@@ or *|X|*
+        return bool(_NAME.match(text)) and text == inside and (opener != "__" or text.isupper() or "_" in text or opener[0] != "_")
+    if opener == "{":
+        return bool(_NAME.match(text) or text.isdigit()) and '"' not in text
+    if opener == "%":
+        return bool(_CAPS.match(text)) and len(text) > 1 and text == inside
+    if opener == "[":
+        return bool((_CAPS.match(text) and len(text) > 2 and not text.isdigit()) or _ASK.match(text) or ("_" in text and _NAME.match(text)))
+    if opener == "<":
+        return bool(not _TAGS.match(text) and ((_CAPS.match(text) and len(text) > 2) or _ASK.match(text) or ("_" in text and _NAME.match(text))))
+    if opener == "«":
+        return bool(_PHRASE.match(inside)) and inside == text
+    return False
+
+
+def slots(text: str) -> list[tuple[int, int]]:
+    """Spans of what was to be filled in, by form: a name or a request between an opening mark and its mirror image, however long."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    while m := _OPEN.search(text, at):
+        at = m.end()
+        run = m.group()
+        for k in range(len(run)):  # the longest opener first
+            opener = run[k:]
+            closer = opener.translate(_MIRROR)[::-1]
+            if opener[-1] in "{(" and len(opener) > 1 and opener[0] in "$#@%":
+                closer = opener[-1].translate(_MIRROR)
+            end = text.find(closer, m.end())
+            if end <= m.end() or not _is_slot(opener, text[m.end() : end]):
+                continue
+            stop = end + len(closer)
+            if opener == "%(":
+                stop += 1 if re.match(r"[sdifr]", text[stop : stop + 1] or " ") else 0
+                if stop == end + len(closer):
+                    continue
+            out.append((m.start() + k, stop))
+            at = stop
+            break
+    return out
 
 
 def _mended(text: str) -> str:
@@ -78,119 +90,169 @@ def _mended(text: str) -> str:
     return text
 
 
-def classify(template: str) -> str:
-    """Verdict on a message template: residue (a slot, missing mark or filler), error, frame (page furniture) or content."""
-    low = _mended(template).lower()
-    about = bool(_ABOUT.search(low))
-    if any(x in template for x in (SLOT, MARK, FILL)):
-        return CONTENT if about or _QUOTED.search(template) else RESIDUE
-    if any(p.search(low) for p in _RX["placeholder"]):
-        return CONTENT if about else RESIDUE
-    if any(p.search(low) for p in _RX["error"]):
-        return CONTENT if about or (_QUOTE.search(low) and not low.startswith(("file ", "{"))) else NOTICE
-    if any(p.search(low) for p in _RX["around"]):
-        return FRAME
-    return CONTENT
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def masked(message: str, by: Judge) -> tuple[str, bool, bool]:
+    """The message with slots, marks and filler masked, whether there are slots or marks, and whether there is filler."""
+    text = _mended(message)
+    found = slots(text)
+    for a, b in reversed(found):
+        text = f"{text[:a]}{SLOT}{text[b:]}"
+    text, marks = _MARKS.subn(MARK, text)
+    words = list(_WORDS.finditer(re.sub(r"<[SMN]>", "   ", text)))
+    spans = by.filler([w.group().lower() for w in words])
+    for a, b in reversed(spans):
+        text = f"{text[: words[a].start()]}{FILL}{text[words[b - 1].end() :]}"
+    return text, bool(found or marks), bool(spans)
 
 
 def segments(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, message and n_words of each line or sentence; in message slots, marks, filler and numbers are masked."""
-    cut = r"[\r\n]+|(?<=[.!?;])[\u00a0\t ]+(?=[\p{Lu}\[{<«$#%@_])"
+    """doc_id and message of each line or sentence; numbers are masked, outer marks of lists and quotes taken off."""
+    cut = r"[\r\n]+|(?<=[.!?;])[ \t ]+(?=[\p{Lu}\[{<«$#%@_*])"
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.explode(F.split(F.col(text), cut)).alias("s"))
-    s: Column = F.regexp_replace(F.regexp_replace("s", r"[\u00ad\u200b-\u200d\u2060\ufeff]", ""), r"[\u00a0\s]+", " ")
-    s = F.regexp_replace(s, r"^(?:[>\-*• ]|\[\d{1,2}:\d{2}\])+|\s+$", "")
-    for p in FILLER:
-        s = F.regexp_replace(s, "(?i)" + p, FILL + " ")
-    s = F.regexp_replace(s, "|".join(SLOTS), SLOT)
-    s = F.regexp_replace(s, "|".join(MARKS), MARK)
-    s = F.regexp_replace(s, r"(?<!\w)\w*\d\w*(?:[.,:]\w*\d\w*)*", NUMBER)
-    out = rows.select("doc_id", F.trim(s).alias("message")).where("message <> ''")
-    return out.withColumn("n_words", F.size(F.filter(F.split("message", " "), lambda w: w.rlike("\\p{L}{2,}|<[SMFN]>"))))
+    s: Column = F.regexp_replace(F.translate("s", "­​‌‍⁠﻿ \t", "\u0000\u0000\u0000\u0000\u0000\u0000  "), r"\u0000+|^(?:[>\-•* ]|\[\d{1,2}:\d{2}\])+(?![|*])|(?<= ) +|\s+$", "")
+    s = F.regexp_replace(s, r"(?<![\w{])(?=\w*\d)\w+(?:[.,:]\w*\d\w*)*(?![\w}])", NUMBER)
+    return rows.select("doc_id", F.trim(s).alias("message")).where("message <> ''")
 
 
-_MASKED = re.compile(f"{SLOT}|{MARK}|{FILL}")
+class PrefixTree:
+    """Templates under one leaf of the fixed-depth tree: messages join the most similar template or open one."""
 
+    def __init__(self, similar: float, width: int):
+        self.similar, self.codes, self.words = similar, {}, []
+        self.table = np.zeros((8, width), np.int64)
+        self.n = 0
 
-def _merged(template: list[str], tokens: list[str]) -> float:
-    """Share of equal tokens; 0 where a slot, mark or filler would be merged with something else."""
-    same = 0
-    for a, b in zip(template, tokens):
-        if a == b:
-            same += 1
-        elif _MASKED.search(a) or _MASKED.search(b):
-            return 0.0
-    return same / len(tokens)
+    def _code(self, w: str) -> int:
+        if w not in self.codes:
+            self.codes[w] = len(self.codes)
+            self.words.append(w)
+        return self.codes[w]
 
+    def add(self, tokens: list[str]) -> int:
+        row = np.array([self._code(w) for w in tokens])
+        if self.n:
+            same = (self.table[: self.n] == row).mean(axis=1)
+            at = int(same.argmax())
+            if same[at] >= self.similar:
+                self.table[at][self.table[at] != row] = self._code(ANY)
+                return at
+        if self.n == len(self.table):
+            self.table = np.vstack((self.table, np.zeros_like(self.table)))
+        self.table[self.n] = row
+        self.n += 1
+        return self.n - 1
 
-class PrefixTree:
-    """Templates under one leaf of the fixed-depth tree: messages join the most similar template or open one."""
+    def template(self, k: int) -> str:
+        return " ".join(self.words[c] for c in self.table[k])
 
-    def __init__(self, similar: float):
-        self.similar, self.templates = similar, []
 
-    def add(self, tokens: list[str]) -> int:
-        best, at = 0.0, -1
-        for k, t in enumerate(self.templates):
-            score = _merged(t, tokens)
-            if score > best:
-                best, at = score, k
-        if best >= self.similar:
-            self.templates[at] = [a if a == b else ANY for a, b in zip(self.templates[at], tokens)]
-            return at
-        self.templates.append(list(tokens))
-        return len(self.templates) - 1
-
-
-def _mine(similar: float):
+def _mine(column: str, out: str, similar: float):
+    """Adds to each row of a leaf the template of its text; in the order of the texts, so it doesn't matter how rows arrive."""
+
     def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = PrefixTree(similar)
-        # in order of the messages, so that the templates do not depend on how rows arrive
-        messages = sorted(pdf["message"])
-        at = [tree.add(m.split(" ")) for m in messages]
-        templates = [" ".join(t) for t in tree.templates]
-        verdict = [classify(t) for t in templates]
-        return pd.DataFrame({"message": messages, "template": [templates[k] for k in at], "verdict": [verdict[k] for k in at]})
+        pdf = pdf.sort_values(column)
+        tokens = [m.split(" ") for m in pdf[column]]
+        tree = PrefixTree(similar, len(tokens[0]))
+        at = [tree.add(t) for t in tokens]
+        pdf[out] = [tree.template(k) for k in at]
+        return pdf
 
     return mine
 
 
-def mine_templates(messages: DataFrame, depth: int = 4, similar: float = 0.7, leaf_rows: int = 2_000) -> DataFrame:
-    """message, template, verdict of each distinct message.
+def mine_templates(messages: DataFrame, depth: int = 3, similar: float = 0.7, part_rows: int = 4_000) -> DataFrame:
+    """message and template of each distinct message.
 
-    The tree has a fixed depth: the number of tokens, then the first depth tokens (a number or another mask is a token
-    of its own). Messages are distinct before they meet. A leaf with more than leaf_rows messages is split by the tokens
-    that follow, and by hash below that, so no task holds a crowded leaf; the parts mine templates of their own, which
-    are classified alike.
+    The tree has a fixed depth: the number of tokens, then the first depth tokens (those with brackets and the like, and
+    numbers, count as one). A leaf with many messages is mined in parts first; the parts' templates, few as they are, then
+    meet per leaf and are mined once more, so the cut leaves no trace where they are alike.
     """
-    distinct = messages.select("message").distinct()
     tokens = F.split("message", " ")
-    leaf = F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, depth))
-    placed = distinct.withColumn("leaf", leaf)
-    size = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows)
-    placed = placed.join(size, "leaf", "left").withColumn("part", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(F.slice(tokens, depth + 1, 3)), F.ceil(F.col("n") / leaf_rows))).otherwise(F.lit(0)))
-    second = placed.groupBy("leaf", "part").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > leaf_rows)
-    placed = placed.join(second, ["leaf", "part"], "left").withColumn("piece", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("message"), F.ceil(F.col("m") / leaf_rows))).otherwise(F.lit(0)))
-    return placed.select("leaf", "part", "piece", "message").groupBy("leaf", "part", "piece").applyInPandas(_mine(similar), "message string, template string, verdict string")
+    plain = F.transform(F.slice(tokens, 1, depth), lambda w: F.when(w.rlike(r"[{}\[\]<>%$@#|_«»]|^[A-Z]{2,}"), F.lit(ANY)).otherwise(w))
+    placed = messages.select("message", F.concat_ws(" ", F.size(tokens).cast("string"), plain).alias("leaf"))
+    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
+    placed = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("message"), F.col("parts"))).select("leaf", "part", "message")
+    local = written(placed.groupBy("leaf", "part").applyInPandas(_mine("message", "local", similar), "leaf string, part bigint, message string, local string"), "local-templates")
+    merged = local.select("leaf", "local").distinct().groupBy("leaf").applyInPandas(_mine("local", "template", similar), "leaf string, local string, template string")
+    return local.join(merged, ["leaf", "local"]).select("message", "template")
 
 
-def residue(df: DataFrame, doc_id: str, text: str, content_share: float = 0.0) -> DataFrame:
+def _judged(sent):
+    """notice, hollow, other: odds of a template's class; other is that it is no content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = sent.value
+        for b in batches:
+            odds = [by.kind(_mended(t)) for t in b["template"]]
+            yield pd.DataFrame({"template": b["template"], "notice": [float(o[NOTICE]) for o in odds], "hollow": [float(o[HOLLOW]) for o in odds], "other": [1 - float(o["content"]) for o in odds]})
+
+    return run
+
+
+def _unfilled(sent):
+    """empty: a slot, mark or filler stands where a value should, and the message does not speak about it; maybe: the places of shapes that may be slots."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = sent.value
+        for b in batches:
+            rows = []
+            for m in b["message"]:
+                text, hit, filler = masked(m, by)
+                tokens = m.split(" ")
+                maybe = [k for k, w in enumerate(tokens) if _MAYBE.match(w)]
+                label = [k for k in maybe if k and tokens[k - 1].endswith(":") and k == len(tokens) - 1]
+                if filler:
+                    rows.append((True, []))
+                elif (hit or maybe) and _spoken_about(text if hit else " ".join(SLOT if k in maybe else w for k, w in enumerate(tokens)), by):
+                    rows.append((False, []))
+                else:
+                    rows.append((hit or bool(label), maybe))
+            yield pd.DataFrame({"message": b["message"], "empty": [r[0] for r in rows], "maybe": [r[1] for r in rows]})
+
+    return run
+
+
+_QUOTED = re.compile(r"[`\"“„][^`\"“”]*<[SMF]>[^`\"“”]*[`\"”“]|(?<!\w)['‘]<[SMF]>['’]")
+
+
+def _spoken_about(text: str, by: Judge) -> bool:
+    return bool(_QUOTED.search(text)) or by.speaks_about(text)
+
+
+def residue(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and reason (residue or error) of each document with template residue or with an error page as its text.
 
-    residue: a slot or the mark of a missing value stands where a value should, or filler where text should, anywhere.
-    error: there is an error message or notice, and of the document's words at most content_share are content. Sentences
-    that speak about such things or quote them are content. Null and empty texts are no case; a doc_id that occurs
-    several times is judged over all its rows. Empty input: no rows. Other columns are ignored.
+    residue: a slot or the mark of a missing value stands where a value should, or filler or a hollow text ("your text
+    here") where text should, anywhere. error: there is a notice, and the document's words are mostly not content, weighed
+    by the odds of their messages; one-word lines count like others. Sentences that speak about such things or quote
+    them are content. Null and empty texts are no case; a doc_id that occurs several times is judged over all its rows.
+    Empty input: no rows. Other columns are ignored.
 
-    Distinct messages are mined and classified once; only those that are not content go back to the documents.
+    Distinct messages are mined for templates; a classifier fitted on EXAMPLES labelled messages, none of them from the
+    documents, judges each template once, and its verdict goes back to all messages and documents. Slots are looked for by
+    form in the distinct messages; what may be a slot counts where the template has other values in its place.
     """
+    sent = df.sparkSession.sparkContext.broadcast(judge())
     parts = written(segments(df, doc_id, text), "segments")
-    verdicts = written(mine_templates(parts).where(F.col("verdict") != CONTENT).select("message", "verdict"), "verdicts")
-    total = parts.groupBy("doc_id").agg(F.sum(F.when(F.col("n_words") > 1, F.col("n_words")).otherwise(0)).alias("words"))
-    bad = parts.join(verdicts, "message").groupBy("doc_id").agg(
-        F.max(F.col("verdict") == RESIDUE).alias("residue"),
-        F.max(F.col("verdict") == NOTICE).alias("error"),
-        F.sum(F.when(F.col("n_words") > 1, F.col("n_words")).otherwise(0)).alias("other"),
-    )
-    judged = bad.join(total, "doc_id")
-    empty = F.col("error") & (F.col("words") - F.col("other") <= F.col("words") * content_share)
-    return judged.where(F.col("residue") | empty).select("doc_id", F.when(F.col("residue"), "residue").otherwise("error").alias("reason"))
+    known = written(parts.groupBy("message").agg(F.count(F.lit(1)).alias("n")), "messages")
+    mined = written(mine_templates(known), "templates")
+    verdicts = mined.select("template").distinct().mapInPandas(_judged(sent), "template string, notice double, hollow double, other double")
+    gaps = known.select("message").mapInPandas(_unfilled(sent), "message string, empty boolean, maybe array<int>")
+    each = mined.join(verdicts, "template").join(gaps.where(F.col("empty") | (F.size("maybe") > 0)), "message", "left")
+    varies = F.exists("maybe", lambda k: F.element_at(F.split("template", " "), k + 1) == ANY)
+    bare = F.coalesce(F.col("empty"), F.lit(False)) | F.coalesce(varies, F.lit(False)) | (F.col("hollow") >= SURE)
+    each = each.select("message", bare.alias("bare"), "notice", F.when(bare, 1.0).otherwise(F.col("other")).alias("other")).where(F.col("bare") | (F.col("other") >= 0.1))
+    odd = written(each.join(known, "message"), "odd")
+
+    # messages that are surely content never go back to the documents; hot ones are split
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = F.greatest(F.lit(1), F.size(F.split("message", " ")))
+    hits = dictionary_join(parts, odd, ["message"], "n", total)
+    bad = hits.groupBy("doc_id").agg(F.max("bare").alias("residue"), F.max("notice").alias("notice"), F.sum(words * F.col("other")).alias("other"))
+    bad = bad.where(F.col("residue") | (F.col("notice") >= SURE))
+    size = parts.groupBy("doc_id").agg(F.sum(words).alias("words"))
+    judged = bad.join(size, "doc_id")
+    page = (F.col("notice") >= SURE) & (F.col("other") >= F.col("words") * MOSTLY)
+    return judged.where(F.col("residue") | page).select("doc_id", F.when(F.col("residue"), "residue").otherwise("error").alias("reason"))

@@ -2,102 +2,151 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from combline.operators.heavy import dictionary_join
 from combline.session import written
 
 #: Words that name the part of the day, and shorthand for two words.
 DAYPARTS = ["morning", "afternoon", "evening", "night", "day", "midday", "noon", "midnight", "dawn", "dusk", "overnight", "today", "tonight", "daytime", "nighttime"]
 SHORTHAND = {"&": "and", "+": "and", "n": "and", "w": "with"}
+#: Parts of the day so long that a word one letter away is one of them, mistyped; a short one may be another word ("dry", "light").
+_LONG = [d for d in DAYPARTS if len(d) >= 7]
+SAME, DIFFERENT, CHECK = "same", "different", "check"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "w/|[^\\p{L}\\p{N}&+]+", " $0 "), "[^\\p{L}\\p{N}&+]+"), lambda w: w != "")
+def said(text: Column) -> Column:
+    """What a text says: its letters and digits in lower case without the part of the day, shorthand written out.
 
+    A mistyped part of the day is left out like a right one, and a ! at the end says that the text's one mistyped letter was
+    there. Null for null, and for texts without a letter or digit.
+    """
+    spaced = F.regexp_replace(F.lower(text), r"\bw/|[&+]", " $0 ")
+    words = F.filter(F.split(spaced, "[^\\p{L}\\p{N}&+]+"), lambda w: w != "")
+    short = F.create_map(*[F.lit(x) for kv in SHORTHAND.items() for x in kv])
+    long = F.array(*map(F.lit, _LONG))
+    typo = lambda w: (F.length(w) >= 6) & ~w.isin(DAYPARTS) & F.exists(long, lambda d: _one_off(w, d))
+    kept = F.filter(words, lambda w: ~w.isin(DAYPARTS))
+    plain = F.array_join(F.transform(F.filter(kept, lambda w: ~typo(w)), lambda w: F.coalesce(short[w], w)), "")
+    spent = F.when(F.exists(kept, typo), "!").otherwise("")
+    return F.when(F.size(words) > 0, F.concat(plain, spent))
 
-def canonical_texts(df: DataFrame, text: str, ratio: int = 10) -> DataFrame:
-    """text, canonical and n (rows with the text) for each distinct text of df that has a word: texts that say the same get the same canonical.
 
-    Letter case, spacing, punctuation, the word for the part of the day and shorthand for "and" and "with" do not count.
-    A mistyped letter (left out, put in, replaced, or swapped with the next) is undone: a word of three letters or more
-    is read as the most frequent word one such step away that is at least ratio times as frequent (equally frequent:
-    the first in order). Words with digits are never read otherwise. Null and blank texts have no entry.
+def _one_off(a: Column, b: Column) -> Column:
+    """One letter left out, put in or replaced, or two neighbours swapped."""
+    d = F.levenshtein(a, b, 2)
+    return (d == 1) | ((d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))))
 
-    Words are counted in all rows, before any shuffle per text. Words one step apart meet on a form with one letter
-    left out, which both share, so no two words are compared that have none in common.
-    """
-    texts = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    spelled = written(texts.withColumn("words", _words(F.col("text"))).where(F.size("words") > 0), "texts")
-    counts = written(spelled.select("n", F.explode("words").alias("w")).groupBy("w").agg(F.sum("n").alias("n")), "words")
-    plain = counts.where(F.col("w").rlike("^\\p{L}+$") & (F.length("w") >= 3))
-    cuts = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.col("w").substr(i + 1, F.length("w"))))
-    forms = plain.select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), cuts))).alias("form"))
-    a, b = forms.select("form", F.col("w").alias("bad"), F.col("n").alias("bad_n")), forms.select("form", F.col("w").alias("good"), F.col("n").alias("good_n"))
-    pairs = a.join(b, "form").where(F.col("good_n") >= F.col("bad_n") * ratio).where(F.col("good") != F.col("bad"))
-    swapped = (F.length("bad") == F.length("good")) & (F.levenshtein("bad", "good") == 2) & (F.array_sort(F.split("bad", "")) == F.array_sort(F.split("good", "")))
-    # two letters differ but are the same two, and dropping one of each leaves the same form: a swap of neighbours
-    fixes = pairs.where((F.levenshtein("bad", "good") == 1) | swapped)
-    # of the candidates the most frequent, then the first in order
-    fixes = fixes.groupBy("bad").agg(F.min(F.struct((-F.col("good_n")).alias("m"), F.col("good"))).alias("best")).select(F.col("bad").alias("w"), F.col("best.good").alias("fixed"))
-
-    placed = spelled.select("text", "n", F.posexplode("words").alias("i", "w")).join(fixes, "w", "left").withColumn("w", F.coalesce("fixed", "w"))
-    short = F.create_map(*[F.lit(x) for kv in SHORTHAND.items() for x in kv])
-    placed = placed.withColumn("w", F.coalesce(short[F.col("w")], F.col("w"))).withColumn("w", F.when(F.col("w").isin(DAYPARTS), F.lit("")).otherwise(F.col("w")))
-    joined = placed.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("ws"), F.max("n").alias("n"))
-    return written(joined.select("text", F.concat_ws(" ", F.filter(F.transform("ws", lambda x: x["w"]), lambda w: w != "")).alias("canonical"), "n"), "canonical")
 
+def related(a: Column, b: Column) -> Column:
+    """same, different, or check for two results of said.
 
-def with_canonical(df: DataFrame, text: str, said: DataFrame) -> DataFrame:
-    """df with the column canonical of canonical_texts; null for null and blank texts. Texts that fill much of df are not shuffled."""
-    has_word = F.size(_words(F.coalesce(F.col(text), F.lit("")))) > 0
-    total = said.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = dictionary_join(df.where(has_word), said.withColumnsRenamed({"text": text, "n": "_n"}), [text], "_n", total).drop("_n")
-    return found.unionByName(df.where(~has_word).withColumn("canonical", F.lit(None).cast("string")))
+    One letter apart is the same, unless both texts have spent theirs: figures are no letters, so the digits must agree. What
+    is further apart may still be one right text with a mistyped letter in each; that takes a look at the texts there are.
+    """
+    bare = lambda c: F.regexp_replace(c, "!$", "")
+    figures = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    x, y = bare(a), bare(b)
+    left = F.lit(2) - F.endswith(a, F.lit("!")).cast("int") - F.endswith(b, F.lit("!")).cast("int")
+    d = F.levenshtein(x, y, 4)
+    near = (d >= 0) & (figures(x) == figures(y))
+    return F.when(a.isNull() | b.isNull(), DIFFERENT).when(x == y, SAME).when(~near | (left == 0), DIFFERENT).when(d == 1, SAME).otherwise(CHECK)
+
+
+def one_letter(a: str, b: str) -> bool:
+    """Whether a becomes b by leaving out, putting in or replacing one letter or swapping two neighbours, or they are equal."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a == b or a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and len(a) == len(b) and a[k + 2 :] == b[k + 2 :])
+
+
+def between(a: str, b: str) -> set[str]:
+    """All texts that are one letter away from a and from b, made of a's letters and those of b where the two differ."""
+    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    s = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    lo, hi = max(0, p - 1), max(p, len(a) - s) + 1
+    letters = set(b[max(0, p - 1) : max(p, len(b) - s) + 1])
+    made = set()
+    for i in range(lo, min(hi, len(a)) + 1):
+        made.update(a[:i] + c + a[i:] for c in letters)
+        if i < len(a):
+            made.add(a[:i] + a[i + 1 :])
+            made.update(a[:i] + c + a[i + 1 :] for c in letters)
+            made.add(a[:i] + a[i + 1 : i + 2] + a[i] + a[i + 2 :])
+    return {t for t in made if t not in (a, b) and one_letter(t, b)}
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for e, a, b in zip(batch["_e"], batch["_pl"], batch["_l"]):
+            x, y = a.removesuffix("!"), b.removesuffix("!")
+            if one_letter(x, y):
+                rows.append((e, a, b, None))
+            elif not a.endswith("!") and not b.endswith("!"):
+                rows += [(e, a, b, t) for t in between(x, y)]
+        yield pd.DataFrame(rows, columns=["_e", "_pl", "_l", "_said"])
+
+
+def truly_different(checks: DataFrame, events: DataFrame) -> DataFrame:
+    """Those checks (_e, _pl, _l) whose texts are not the same: no swap of neighbours apart, and no text of the entity is one letter away from both.
+
+    Only distinct pairs are looked at; the texts between two are made from them and looked up, so no texts are compared pairwise.
+    """
+    pairs = checks.select("_e", "_pl", "_l").distinct()
+    made = written(pairs.mapInPandas(_candidates, "_e string, _pl string, _l string, _said string"), "between")
+    texts = events.where("_l is not null").select("_e", F.regexp_replace("_l", "!$", "").alias("_said")).distinct()
+    fine = made.where("_said is null").select("_e", "_pl", "_l").unionByName(made.where("_said is not null").join(texts, ["_e", "_said"]).select("_e", "_pl", "_l")).distinct()
+    return checks.join(fine, ["_e", "_pl", "_l"], "left_anti")
 
 
-def collapse_runs(df: DataFrame, entity: str, epoch: str, row_id: str, label: str, max_gap_s: int | None, block_s: int = 64 * 86_400) -> DataFrame:
+def collapse_runs(
+    df: DataFrame, entity: str, epoch: str, row_id: str, label: str, max_gap_s: int | None, block_s: int = 64 * 86_400,
+    compare: Callable[[Column, Column], Column] | None = None, settle: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row per maximal run of consecutive events of an entity with the same label.
 
-    Result: entity, label, first_id, last_id, first_epoch, last_epoch, n, duration_s. Events are ordered by epoch, then
-    id. Between neighbours of a run lie at most max_gap_s seconds (no limit if None). An event with a null label ends a
-    run and is in none; null entities, ids and epochs are left out before. Repeated rows count each. Empty input: no rows.
-    Other columns are ignored.
+    Result: entity, label (of the first event), first_id, last_id, first_epoch, last_epoch, n, duration_s. Events are ordered
+    by epoch, then id. Between neighbours of a run lie at most max_gap_s seconds (no limit if None). An event with a null
+    label ends a run and is in none; null entities, ids and epochs are left out before. Repeated rows count each. Empty
+    input: no rows. Other columns are ignored. compare says of two neighbouring labels whether they are the same, different
+    or to be checked (by default equal ones are the same); settle gives those checked rows that are different.
 
     Only boundary rows are kept: an event that differs from its predecessor starts a run; the lead over the starts gives
     the position at which it ends and, as the predecessor of the next start, its last event. Orderings are within blocks
     of block_s seconds; over a whole entity only one row per block is ordered.
     """
-    e = df.select(F.col(entity).alias("_e"), F.col(epoch).cast("bigint").alias("_t"), F.col(row_id).cast("bigint").alias("_id"), F.col(label).alias("_l"))
+    e = df.select(F.col(entity).cast("string").alias("_e"), F.col(epoch).cast("bigint").alias("_t"), F.col(row_id).cast("bigint").alias("_id"), F.col(label).alias("_l"))
     for c in ("_e", "_t", "_id"):
         e = e.where(F.col(c).isNotNull())
     e = e.withColumn("_b", F.floor(F.col("_t") / block_s))
     w = Window.partitionBy("_e", "_b").orderBy("_t", "_id")
-    e = e.withColumns({"_pos": F.row_number().over(w), "_pt": F.lag("_t").over(w), "_pid": F.lag("_id").over(w), "_pl": F.lag("_l").over(w)})
+    e = written(e.withColumns({"_pos": F.row_number().over(w), "_pt": F.lag("_t").over(w), "_pid": F.lag("_id").over(w), "_pl": F.lag("_l").over(w)}), "events")
 
-    ends = e.groupBy("_e", "_b").agg(
-        F.max("_pos").cast("bigint").alias("_size"),
-        F.min_by("_t", "_pos").alias("_t1"), F.min_by("_id", "_pos").alias("_id1"), F.min_by("_l", "_pos").alias("_l1"),
-        F.max_by("_t", "_pos").alias("_tn"), F.max_by("_id", "_pos").alias("_idn"), F.max_by("_l", "_pos").alias("_ln"),
-    )
+    tail = F.struct("_pos", "_t", "_id", "_l")
+    ends = e.groupBy("_e", "_b").agg(F.max(tail).alias("z"))
     v = Window.partitionBy("_e").orderBy("_b")
     prior = ends.select(
-        "_e", "_b", (F.sum("_size").over(v) - F.col("_size")).alias("_before"), F.lag("_tn").over(v).alias("_bt"), F.lag("_idn").over(v).alias("_bid"), F.lag("_ln").over(v).alias("_bl"),
-        "_size", "_tn", "_idn",
+        "_e", "_b", (F.sum("z._pos").over(v) - F.col("z._pos")).alias("_before"), F.lag("z._t").over(v).alias("_bt"), F.lag("z._id").over(v).alias("_bid"), F.lag("z._l").over(v).alias("_bl"),
+        F.col("z._pos").alias("_size"), F.col("z._t").alias("_tn"), F.col("z._id").alias("_idn"),
     )
     prior = written(prior, "run-blocks")
-    inner = F.col("_pos") > 1
-    e = e.join(prior.select("_e", "_b", "_before", "_bt", "_bid", "_bl"), ["_e", "_b"])
-    e = e.withColumns({
-        "_pt": F.when(inner, F.col("_pt")).otherwise(F.col("_bt")),
-        "_pid": F.when(inner, F.col("_pid")).otherwise(F.col("_bid")),
-        "_pl": F.when(inner, F.col("_pl")).otherwise(F.col("_bl")),
-    })
-    same = F.col("_l").eqNullSafe(F.col("_pl")) & F.col("_pt").isNotNull()
+    inner = e.where("_pos > 1")
+    heads = e.where("_pos = 1").drop("_pt", "_pid", "_pl").join(prior.select("_e", "_b", F.col("_bt").alias("_pt"), F.col("_bid").alias("_pid"), F.col("_bl").alias("_pl")), ["_e", "_b"])
+    rows = inner.unionByName(heads)
+    apart = F.col("_pt").isNull() | F.col("_l").isNull() | F.col("_pl").isNull()
     if max_gap_s is not None:
-        same = same & (F.col("_t") - F.col("_pt") <= max_gap_s)
-    starts = e.where(~same).select("_e", "_b", (F.col("_before") + F.col("_pos")).alias("_at"), "_t", "_id", "_l", "_pt", "_pid")
+        apart = apart | (F.col("_t") - F.col("_pt") > max_gap_s)
+    how = compare(F.col("_pl"), F.col("_l")) if compare else F.when(F.col("_l") == F.col("_pl"), SAME).otherwise(DIFFERENT)
+    rows = rows.withColumn("_how", F.when(F.coalesce(apart, F.lit(True)), DIFFERENT).otherwise(how))
+    starts = rows.where(F.col("_how") == DIFFERENT)
+    if settle:
+        starts = starts.unionByName(settle(rows.where(F.col("_how") == CHECK), e))
+    starts = starts.join(prior.select("_e", "_b", "_before"), ["_e", "_b"]).select("_e", "_b", (F.col("_before") + F.col("_pos")).alias("_at"), "_t", "_id", "_l", "_pt", "_pid")
     starts = written(starts, "run-starts")
 
     nxt = Window.partitionBy("_e", "_b").orderBy("_at")

@@ -18,12 +18,6 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radi
     return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Positions in degrees as points of the unit sphere, one row each."""
-    a, b = np.radians(lat), np.radians(lon)
-    return np.column_stack((np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)))
-
-
 def haversine_miles_np(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_MILES) -> np.ndarray:
     a1, a2 = np.radians(lat1), np.radians(lat2)
     h = np.sin((a2 - a1) / 2) ** 2 + np.cos(a1) * np.cos(a2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2

@@ -11,6 +11,7 @@ from combline.operators.outliers import implausible
 from combline.operators.rolling import trailing_totals
 from combline.operators.spatial import near_pairs
 from combline.operators.standing import standing
+from combline.session import shared_dir
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -46,7 +47,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = stamp_rows(_table(spark, d, "sensor_raw"), "raw_id", "ts_raw", "sensor").unionByName(
         stamp_rows(_table(spark, d, "weather_raw"), "wraw_id", "clock_time", "weather", day="observed_date")
     )
-    return normalise_instants(rows).select(F.col("source").alias("raw_table"), "row_id", "epoch_s")
+    return normalise_instants(rows, f"{shared_dir(spark)}/combline-stamps-1").select(F.col("source").alias("raw_table"), "row_id", "epoch_s")
 
 
 #: What the three measures can be.
@@ -121,5 +122,34 @@ hits AS (SELECT hive_id, colony_side, o.field_name, unnest(ts) AS t FROM offs o
 spikes AS (SELECT v.id, v.field_name FROM vals v SEMI JOIN hits h ON v.hive_id = h.hive_id AND v.colony_side = h.colony_side AND v.field_name = h.field_name AND v.t = h.t)
 SELECT id AS reading_id, field_name FROM (SELECT * FROM bounds UNION SELECT * FROM frozen UNION SELECT * FROM spikes)"""
 
+# one expression per notation; a local time must lead to one instant and back
+_ZONE = r"(z|utc|gmt|[ecmp][sd]t|[+-]\d{2}:?\d{2}|[+-]\d{2}|\[?america/new_york\]?)?"
+_P4 = rf"""WITH raws AS (SELECT 'sensor' AS raw_table, raw_id AS row_id, NULL::DATE AS day, ts_raw AS txt FROM sensor_raw UNION ALL SELECT 'weather', wraw_id, observed_date, clock_time FROM weather_raw WHERE observed_date IS NOT NULL),
+t AS (SELECT raw_table, row_id, day, lower(regexp_replace(regexp_replace(txt, '^[\s"''\x{{a0}}]+', ''), '[\s"''.\x{{a0}}]+$', '')) AS t FROM raws WHERE txt IS NOT NULL AND row_id IS NOT NULL),
+num AS (SELECT raw_table, row_id, coalesce(try_cast(t AS DECIMAL(38, 9)), try_cast(try_cast(t AS DOUBLE) AS DECIMAL(38, 9))) AS v FROM t WHERE day IS NULL AND regexp_full_match(t, '[+]?\d+([.]\d*)?(e[+-]?\d+)?')),
+numbers AS (SELECT raw_table, row_id, CAST(floor(v / u) AS BIGINT) AS epoch_s FROM num CROSS JOIN (VALUES (1), (1000), (1000000), (1000000000)) x(u) WHERE v >= 946684800::DECIMAL(38, 9) * u AND v < 2082758400::DECIMAL(38, 9) * u),
+dated AS (SELECT raw_table, row_id, day, t, CASE WHEN day IS NOT NULL THEN [CAST(year(day) AS VARCHAR), CAST(month(day) AS VARCHAR), CAST(day(day) AS VARCHAR), regexp_replace(t, '^t', '')]
+    WHEN regexp_full_match(t, '\d{{4}}-\d{{1,2}}-\d{{1,2}}[t\s]\s*.+') THEN regexp_extract_all(t, '^(\d{{4}})', 1) || regexp_extract_all(t, '^\d{{4}}-(\d+)', 1) || regexp_extract_all(t, '^\d{{4}}-\d+-(\d+)', 1) || regexp_extract_all(t, '^\d{{4}}-\d+-\d+[t\s]\s*(.+)$', 1)
+    WHEN regexp_full_match(t, '\d{{8}}[t\s]\s*\d{{4,6}}.*') THEN [t[1:4], t[5:6], t[7:8], regexp_replace(regexp_extract(t, '^\d{{8}}[t\s]\s*(.+)$', 1), '^(\d\d)(\d\d)', '\1:\2')]
+    WHEN regexp_full_match(t, '\d{{1,2}}/\d{{1,2}}/\d{{4}},?\s.+') THEN [regexp_extract(t, '/(\d{{4}})', 1), regexp_extract(t, '^(\d+)', 1), regexp_extract(t, '^\d+/(\d+)', 1), regexp_extract(t, '/\d{{4}},?\s+(.+)$', 1)]
+    WHEN regexp_full_match(t, '\d{{1,2}}[.]\d{{1,2}}[.]\d{{4}},?\s.+') THEN [regexp_extract(t, '[.](\d{{4}})', 1), regexp_extract(t, '^\d+[.](\d+)', 1), regexp_extract(t, '^(\d+)', 1), regexp_extract(t, '[.]\d{{4}},?\s+(.+)$', 1)]
+    WHEN regexp_full_match(t, '(?:[a-z]{{3,9}},?\s+)?[a-z]{{3,9}}[.]?\s+\d{{1,2}},?\s+\d{{4}},?\s.+') THEN [regexp_extract(t, '\s(\d{{4}})', 1), CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', regexp_extract(t, '([a-z]{{3}})[a-z]*[.]?\s+\d', 1)) + 2) // 3 AS VARCHAR), regexp_extract(t, '[a-z.]\s+(\d+)', 1), regexp_extract(t, '\s\d{{4}},?\s+(.+)$', 1)]
+    WHEN regexp_full_match(t, '(?:[a-z]{{3,9}},?\s+)?\d{{1,2}}\s+[a-z]{{3,9}}[.]?,?\s+\d{{4}},?\s.+') THEN [regexp_extract(t, '\s(\d{{4}})', 1), CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', regexp_extract(t, '\d\s+([a-z]{{3}})', 1)) + 2) // 3 AS VARCHAR), regexp_extract(t, '(\d{{1,2}})\s+[a-z]', 1), regexp_extract(t, '\s\d{{4}},?\s+(.+)$', 1)] END AS p FROM t),
+clock AS (SELECT raw_table, row_id, p, CASE
+    WHEN regexp_full_match(p[4], '\d{{1,2}}[:.h]\d{{2}}(:?\d{{2}}([.,]\d+)?)?\s*([ap][.]?m[.]?|uhr)?\s*{_ZONE}') THEN [regexp_extract(p[4], '^(\d+)', 1), regexp_extract(p[4], '^\d+.(\d\d)', 1), coalesce(nullif(regexp_extract(p[4], '^\d+[:.h]\d\d:?(\d\d)', 1), ''), '0')]
+    WHEN regexp_full_match(p[4], '\d{{1,2}}\s*[ap][.]?m[.]?\s*{_ZONE}') THEN [regexp_extract(p[4], '^(\d+)', 1), '0', '0']
+    WHEN day IS NOT NULL AND regexp_full_match(p[4], '\d{{4}}\s*{_ZONE}') THEN [p[4][1:2], p[4][3:4], '0'] END AS c,
+    regexp_extract(p[4], '\d\s*([ap])[.]?m(?:[^a-z]|$)', 1) AS half, regexp_extract(p[4], '{_ZONE}$', 1) AS zone FROM dated WHERE p IS NOT NULL),
+walls AS (SELECT raw_table, row_id, zone, CASE WHEN CAST(c[1] AS INT) <= 23 AND (half = '' OR CAST(c[1] AS INT) BETWEEN 1 AND 12) THEN
+    try_cast(p[1] || '-' || lpad(p[2], 2, '0') || '-' || lpad(p[3], 2, '0') || ' ' || lpad(CAST(CASE half WHEN '' THEN CAST(c[1] AS INT) WHEN 'a' THEN CAST(c[1] AS INT) % 12 ELSE CAST(c[1] AS INT) % 12 + 12 END AS VARCHAR), 2, '0') || ':' || c[2] || ':' || lpad(c[3], 2, '0') AS TIMESTAMP) END AS w FROM clock WHERE c IS NOT NULL),
+local AS (SELECT *, timezone('America/New_York', w) AS z FROM walls WHERE w IS NOT NULL AND (zone = '' OR zone LIKE '%/%')),
+found AS (SELECT * FROM numbers
+  UNION ALL SELECT raw_table, row_id, CAST(epoch(z) AS BIGINT) FROM local WHERE timezone('America/New_York', z) = w AND timezone('America/New_York', z - INTERVAL 1 HOUR) <> w AND timezone('America/New_York', z + INTERVAL 1 HOUR) <> w
+  UNION ALL SELECT raw_table, row_id, CAST(epoch(w) AS BIGINT) - CASE WHEN zone IN ('z', 'utc', 'gmt') THEN 0 WHEN length(zone) = 3 AND zone LIKE '%t' THEN (CASE zone WHEN 'est' THEN -5 WHEN 'cst' THEN -6 WHEN 'mst' THEN -7 ELSE -8 END) * 3600
+      WHEN zone LIKE '%t' THEN 0 ELSE (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (CAST(zone[2:3] AS INT) * 3600 + CAST(coalesce(nullif(right(regexp_replace(zone, '[^0-9]', '', 'g')[3:], 2), ''), '0') AS INT) * 60) END
+    FROM walls WHERE w IS NOT NULL AND zone <> '' AND zone NOT LIKE '%/%' AND zone NOT LIKE '_dt'
+  UNION ALL SELECT raw_table, row_id, CAST(epoch(w) AS BIGINT) - (CASE zone WHEN 'edt' THEN -4 WHEN 'cdt' THEN -5 WHEN 'mdt' THEN -6 ELSE -7 END) * 3600 FROM walls WHERE w IS NOT NULL AND zone LIKE '_dt')
+SELECT raw_table, row_id, epoch_s FROM found WHERE epoch_s >= 946684800 AND epoch_s < 2082758400"""
+
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
-SQL = {"p1_found": _P1, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}
+SQL = {"p1_found": _P1, "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date, timedelta
 from decimal import Decimal
 from pathlib import Path
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from combline.functions.weather import describe
+from combline.session import exists
+
 SENSOR_CSV = T.StructType([T.StructField(n, T.LongType() if n == "timestamp" else T.StringType()) for n in ("device_uid", "timestamp", "event_type", "sensor_data", "user_id")])
 WEATHER_CSV = T.StructType(
     [T.StructField("hive_id", T.StringType()), T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("date", T.DateType()), T.StructField("clock_time", T.StringType())]
@@ -57,34 +61,64 @@ def split_sides(df: DataFrame) -> DataFrame:
     return df.select(*keep, F.inline(sides)).dropna(subset=["w", "t", "h"])
 
 
+def _required(spark: SparkSession, folder: str, label: str) -> None:
+    if not exists(spark, folder):
+        raise FileNotFoundError(f"no {label} folder {folder}")
+
+
 def read_sensor_cache(spark: SparkSession, folder: str, sites: DataFrame, zone: str = "America/New_York") -> DataFrame:
-    """Readings of <hive_id>_SENS.csv files; rows of another device than the site's are left out."""
+    """Readings of <hive_id>_SENS.csv files in the shape of the readings table; rows of another device than the site's are left out.
+
+    reading_id is made of the file's rows in no fixed order; it only tells rows apart. A missing folder raises.
+    """
+    _required(spark, folder, "sensor")
     rows = spark.read.csv(f"{folder}/*_SENS.csv", header=True, schema=SENSOR_CSV, escape='"').withColumn("hive_id", F.regexp_extract(F.input_file_name(), r"([^/]+)_SENS\.csv$", 1))
     known = rows.join(sites.select("hive_id", "device_uid"), ["hive_id", "device_uid"])
-    local = F.from_utc_timestamp(F.timestamp_seconds("timestamp"), zone).cast("timestamp_ntz")
-    return split_sides(attribute_values(known)).withColumn("observed_at", local)
+    local = F.timestamp_add("SECOND", wall_of(F.col("timestamp"), zone), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return split_sides(attribute_values(known)).select(
+        F.monotonically_increasing_id().alias("reading_id"), "hive_id", "colony_side", "device_uid", F.col("timestamp").alias("ts_epoch"), local.alias("observed_at"),
+        F.col("w").alias("weight_kg"), F.col("t").alias("internal_temp_f"), F.col("h").alias("internal_humidity_pct"), F.col("tE").alias("external_temp_f"), F.col("hE").alias("external_humidity_pct"),
+    )
+
+
+def wall_of(epoch: Column, zone: str) -> Column:
+    """Seconds on zone's clock at an instant; neither step looks at the session's zone."""
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(epoch), F.lit(zone)))
 
 
 def read_weather_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of <hive_id>_data.csv files; empty cells are null. A missing folder raises."""
+    _required(spark, folder, "weather")
     return spark.read.csv(f"{folder}/*_data.csv", header=True, schema=WEATHER_CSV).withColumnsRenamed(
         {"date": "observed_date", "temperature_F": "temperature_f", "pressure_hPa": "pressure_hpa", "cloudiness_percent": "cloudiness_pct", "humidity_percent": "humidity_pct", "weather_condition_code": "weather_code", "weather_overview": "overview"}
     )
 
 
 def hourly_rows(df: DataFrame, column: str = "payload", hours: tuple[int, ...] = (7, 14, 19)) -> DataFrame:
-    """Parallel arrays of an hourly weather document as rows of the given hours."""
+    """Parallel arrays of an hourly weather document as rows of the given hours, with the sentence that tells them."""
     kind = "struct<hourly:struct<time:array<string>,temperature_2m:array<double>,surface_pressure:array<double>,cloud_cover:array<double>,relative_humidity_2m:array<double>,weather_code:array<int>>>"
     doc = df.withColumn("_d", F.from_json(column, kind)).where(F.col("_d.hourly.time").isNotNull())
     names = ["time", "temperature_2m", "surface_pressure", "cloud_cover", "relative_humidity_2m", "weather_code"]
     rows = doc.select(*[c for c in df.columns if c != column], F.inline(F.arrays_zip(*(F.col(f"_d.hourly.{n}") for n in names))))
     at = F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))
     rows = rows.where(F.hour(at).isin(*hours))
+    words = describe(F.hour(at), F.col("temperature_2m"), F.col("relative_humidity_2m"), F.col("cloud_cover"), F.col("weather_code"))
     return rows.select(
-        *[c for c in df.columns if c != column], F.to_date(at).alias("observed_date"), F.date_format(at.cast("timestamp"), "HH:mm").alias("clock_time"),
-        F.bround("temperature_2m", 1).alias("temperature_f"), F.bround("surface_pressure", 1).alias("pressure_hpa"), F.col("cloud_cover").alias("cloudiness_pct"), F.col("relative_humidity_2m").alias("humidity_pct"), "weather_code",
+        *[c for c in df.columns if c != column], F.to_date(at).alias("observed_date"), F.substring("time", 12, 5).alias("clock_time"),
+        F.bround("temperature_2m", 1).alias("temperature_f"), F.bround("surface_pressure", 1).alias("pressure_hpa"), F.bround("cloud_cover").alias("cloudiness_pct"), F.bround("relative_humidity_2m").alias("humidity_pct"), "weather_code", words.alias("overview"),
     )
 
 
+def hourly_sources(start: date, end: date, today: date, recent_days: int = 85, lag_days: int = 7) -> list[tuple[str, date, date]]:
+    """Which of two weather services (recent, archive) has which days from start to end: the recent one reaches back recent_days, the archive ends lag_days ago."""
+    if start >= today - timedelta(days=recent_days):
+        return [("recent", start, end)]
+    split = today - timedelta(days=lag_days)
+    if end < split:
+        return [("archive", start, end)]
+    return [("archive", start, split - timedelta(days=1)), ("recent", split, end)]
+
+
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """Sites of a JSON inventory {"sites": [...]}; settings that belong into the thresholds raise."""
     doc = json.loads(Path(path).read_text())
@@ -92,7 +126,8 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"settings {extra} belong into the thresholds file")
     names = ["hive_id", "device_uid", "display_name", "county", "state", "region_label"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())])
-    return spark.createDataFrame([tuple(s.get(f.name) or None for f in schema) for s in doc["sites"]], schema)
+    cell = lambda v, number: None if v is None or v == "" else float(v) if number else str(v)
+    return spark.createDataFrame([tuple(cell(s.get(f.name), f.dataType == T.DoubleType()) for f in schema) for s in doc["sites"]], schema)
 
 
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -203,12 +203,15 @@ def _unfilled(sent):
                 tokens = m.split(" ")
                 maybe = [k for k, w in enumerate(tokens) if _MAYBE.match(w)]
                 label = [k for k in maybe if k and tokens[k - 1].endswith(":") and k == len(tokens) - 1]
+                guess = " ".join(SLOT if k in maybe else w for k, w in enumerate(tokens))
                 if filler:
                     rows.append((True, []))
-                elif (hit or maybe) and _spoken_about(text if hit else " ".join(SLOT if k in maybe else w for k, w in enumerate(tokens)), by):
+                elif _QUOTED.search(text) or _QUOTED.search(guess):
                     rows.append((False, []))
                 else:
-                    rows.append((hit or bool(label), maybe))
+                    sure = (hit or bool(label)) and not by.speaks_about(text if hit else guess)
+                    # other values in its place say more than the sentence does
+                    rows.append((sure, [] if hit else maybe))
             yield pd.DataFrame({"message": b["message"], "empty": [r[0] for r in rows], "maybe": [r[1] for r in rows]})
 
     return run
@@ -217,10 +220,6 @@ def _unfilled(sent):
 _QUOTED = re.compile(r"[`\"“„][^`\"“”]*<[SMF]>[^`\"“”]*[`\"”“]|(?<!\w)['‘]<[SMF]>['’]")
 
 
-def _spoken_about(text: str, by: Judge) -> bool:
-    return bool(_QUOTED.search(text)) or by.speaks_about(text)
-
-
 def residue(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and reason (residue or error) of each document with template residue or with an error page as its text.
 

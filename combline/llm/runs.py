@@ -65,13 +65,13 @@ def one_letter(a: str, b: str) -> bool:
 
 
 def between(a: str, b: str) -> set[str]:
-    """All texts that are one letter away from a and from b, made of a's letters and those of b where the two differ."""
-    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    s = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
-    lo, hi = max(0, p - 1), max(p, len(a) - s) + 1
-    letters = set(b[max(0, p - 1) : max(p, len(b) - s) + 1])
+    """All texts other than a and b that are one letter away from both, if a and b are more than that apart.
+
+    What is put into a, or takes a letter's place, must then be a letter that b has thereabouts.
+    """
     made = set()
-    for i in range(lo, min(hi, len(a)) + 1):
+    for i in range(len(a) + 1):
+        letters = set(b[max(0, i - 2) : i + 3])
         made.update(a[:i] + c + a[i:] for c in letters)
         if i < len(a):
             made.add(a[:i] + a[i + 1 :])

@@ -22,6 +22,8 @@ class Analysis:
     weather: DataFrame
     sites: DataFrame
     cfg: Thresholds
+    #: all readings, by which silence is measured, if readings are those of a window
+    history: DataFrame | None = None
 
     @cached_property
     def events(self) -> DataFrame:
@@ -62,7 +64,7 @@ class Analysis:
         """Silent colonies of all sites, both sides."""
         sides = self.sites.where(F.col("hive_id").isNotNull()).select("hive_id").distinct().join(self.regions, "hive_id", "left")
         colonies = sides.withColumn("region_id", F.coalesce("region_id", "hive_id")).withColumn("colony_side", F.explode(F.array(F.lit("L"), F.lit("R"))))
-        return scoring.reporting_gaps(self.readings, colonies, self.cfg)
+        return scoring.reporting_gaps(self.readings if self.history is None else self.history, colonies, self.cfg)
 
     @cached_property
     def standing(self) -> DataFrame:

@@ -89,7 +89,7 @@ def wall_of(epoch: Column, zone: str) -> Column:
 def read_weather_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of <hive_id>_data.csv files; empty cells are null. A missing folder raises."""
     _required(spark, folder, "weather")
-    return spark.read.csv(f"{folder}/*_data.csv", header=True, schema=WEATHER_CSV).withColumnsRenamed(
+    return spark.read.csv(f"{folder}/*_data.csv", header=True, schema=WEATHER_CSV).withColumn("obs_id", F.monotonically_increasing_id()).withColumnsRenamed(
         {"date": "observed_date", "temperature_F": "temperature_f", "pressure_hPa": "pressure_hpa", "cloudiness_percent": "cloudiness_pct", "humidity_percent": "humidity_pct", "weather_condition_code": "weather_code", "weather_overview": "overview"}
     )
 
@@ -143,9 +143,22 @@ def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return records, ranges
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def plain_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with AttributeValue cells ({"S": ...}, {"N": ...}, {"BOOL": ...}, {"M": ...}) as plain text; a map stays JSON without blanks."""
 
+    def plain(c: str) -> Column:
+        get = lambda k: F.get_json_object(F.col(c), f"$.{k}")
+        return F.coalesce(get("S"), get("N"), get("BOOL"), get("M"), F.col(c))
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    return df.withColumns({c: plain(c) for c in columns})
+
+
+def write_sensor_cache(df: DataFrame, path: str) -> None:
+    """Device rows as CSV in the columns of the sensor cache."""
+    df.select([f.name for f in SENSOR_CSV]).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_weather_cache(df: DataFrame, path: str) -> None:
+    """Weather rows as CSV in the columns of the weather cache."""
+    names = {"observed_date": "date", "temperature_f": "temperature_F", "pressure_hpa": "pressure_hPa", "cloudiness_pct": "cloudiness_percent", "humidity_pct": "humidity_percent", "weather_code": "weather_condition_code", "overview": "weather_overview"}
+    df.withColumnsRenamed(names).select([f.name for f in WEATHER_CSV]).write.mode("overwrite").csv(path, header=True, escape='"')

@@ -14,6 +14,8 @@ from combline.session import written
 
 #: The quadtree is fitted on at most so many positions; every position is then placed in it.
 SAMPLE = 20_000
+#: About so many leaves there are at most, so that they can go with the tasks: some 40 bytes each.
+LEAVES = 100_000
 #: Depth at which cells are numbered.
 DEPTH = 24
 FANOUT = 32
@@ -42,6 +44,26 @@ class Quadtree:
         return np.array(self.starts, np.int64), np.array(self.boxes, np.float64).reshape(-1, 4)
 
 
+def split_leaves(starts: np.ndarray, boxes: np.ndarray, crowded: set[int], least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The leaves with each crowded one cut into four, as long as its children are not smaller than least; and how many were cut."""
+    new_starts, new_boxes, cut = [], [], 0
+    ends = np.append(starts[1:], 1 << 2 * DEPTH)
+    for k in range(len(starts)):
+        x0, y0, x1, y1 = boxes[k]
+        size = int(ends[k] - starts[k])
+        if k not in crowded or min(x1 - x0, y1 - y0) / 2 < least or size < 4:
+            new_starts.append(int(starts[k]))
+            new_boxes.append(boxes[k])
+            continue
+        cut += 1
+        w, h = (x1 - x0) / 2, (y1 - y0) / 2
+        for c in range(4):
+            a, b = x0 + w * (c & 1), y0 + h * (c >> 1)
+            new_starts.append(int(starts[k]) + c * (size // 4))
+            new_boxes.append((a, b, a + w, b + h))
+    return np.array(new_starts, np.int64), np.array(new_boxes, np.float64).reshape(-1, 4), cut
+
+
 def _morton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     side = 1 << DEPTH
     cx = np.clip(((x + 180.0) / 360.0 * side).astype(np.int64), 0, side - 1)
@@ -122,6 +144,32 @@ class RTree:
                 yield part[i], self.order[lo + j]
 
 
+    def overlaps(self, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query box, own box) pairs that touch."""
+        stack = [(len(self.levels) - 1, k, np.arange(len(x0))) for k in range(len(self.levels[-1]))]
+        while stack:
+            depth, node, who = stack.pop()
+            b = self.levels[depth][node]
+            who = who[(x1[who] >= b[0]) & (x0[who] <= b[1]) & (y1[who] >= b[2]) & (y0[who] <= b[3])]
+            if not len(who):
+                continue
+            if depth == 0:
+                yield who, np.full(len(who), self.order[node])
+            else:
+                stack.extend((depth - 1, k, who) for k in range(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[depth - 1]))))
+
+
+def _counter(starts: np.ndarray):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, int] = {}
+        for b in batches:
+            for k, n in zip(*np.unique(_leaf_of(starts, b["lon"].to_numpy(), b["lat"].to_numpy()), return_counts=True)):
+                seen[int(k)] = seen.get(int(k), 0) + int(n)
+        yield pd.DataFrame({"leaf": list(seen), "n": list(seen.values())}, dtype="int64")
+
+    return count
+
+
 def _assigner(starts: np.ndarray, boxes: np.ndarray, miles: float, radius: float):
     tree_x0, tree_y0, tree_x1, tree_y1 = boxes.T
 
@@ -139,10 +187,10 @@ def _assigner(starts: np.ndarray, boxes: np.ndarray, miles: float, radius: float
             corner = [_leaf_of(starts, p, q) for p, q in ((cx0, cy0), (cx0, cy1), (cx1, cy0), (cx1, cy1))]
             one = (corner[0] == corner[1]) & (corner[0] == corner[2]) & (corner[0] == corner[3])
             k, leaf = [np.flatnonzero(one)], [corner[0][one]]
-            for r in np.flatnonzero(~one):
-                hit = np.flatnonzero((tree_x1 >= x0[r]) & (tree_x0 <= x1[r]) & (tree_y1 >= y0[r]) & (tree_y0 <= y1[r]))
-                k.append(np.full(len(hit), r))
-                leaf.append(hit)
+            rest = np.flatnonzero(~one)
+            for i, j in leaves.overlaps(x0[rest], x1[rest], y0[rest], y1[rest]):
+                k.append(rest[i])
+                leaf.append(j)
             k, leaf = np.concatenate(k), np.concatenate(leaf)
             reach = b.iloc[at[k]].assign(leaf=leaf, native=False, x0=x0[k], x1=x1[k], y0=y0[k], y1=y1[k])
             yield pd.concat((own, reach))
@@ -170,7 +218,7 @@ def _tile_pairs(miles: float, radius: float):
 
 
 def near_pairs(
-    df: DataFrame, id_col: str, lat: str, lon: str, miles: float, radius: float = EARTH_RADIUS_MILES, leaf_rows: int = 2_000, tile_rows: int = 8_000
+    df: DataFrame, id_col: str, lat: str, lon: str, miles: float, radius: float = EARTH_RADIUS_MILES, leaf_rows: int = 2_000, tile_rows: int = 8_000, sample_rows: int = SAMPLE
 ) -> DataFrame:
     """id_a, id_b (strings, id_a < id_b in byte order) of all pairs at most miles apart on the great circle.
 
@@ -181,19 +229,26 @@ def near_pairs(
     Equal positions are one point of the join and are expanded at the end. A quadtree over a sample of at most SAMPLE
     positions (deterministic: smallest hashes) sets the leaves; each position goes to its own leaf as a probe and to every
     leaf that its box of reach touches as a target. A pair is found only in the leaf that owns the position of its smaller
-    id, so nothing is found twice. Leaves are counted exactly; one with more than tile_rows rows is cut into tiles of
-    probes and targets, so no task holds a crowded leaf.
+    id, so nothing is found twice. Leaves are counted exactly, and crowded ones are cut in four again and again, down to a
+    few times the reach; there are at most some hundred thousand leaves, as leaf_rows rises with the data beyond that. A leaf
+    that still has more than tile_rows rows is cut into tiles of probes and targets, so no task holds a crowded leaf.
     """
     ok = F.col("_lat").between(-90.0, 90.0) & F.col("_lon").between(-180.0, 180.0)
     sites = df.select(F.col(id_col).cast("string").alias("_site"), (F.col(lat).cast("double") + 0.0).alias("_lat"), (F.col(lon).cast("double") + 0.0).alias("_lon"))
     sites = sites.where(F.col("_site").isNotNull() & ok)
     points = written(sites.groupBy("_lat", "_lon").agg(F.min("_site").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "n"), "points")
     total = points.count()
-    sample = points.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(SAMPLE).toPandas()
+    sample = points.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(sample_rows).toPandas()
     share = len(sample) / max(total, 1)
     least = 4 * np.degrees(miles / radius)
     tree = Quadtree(sample["lon"].to_numpy(), sample["lat"].to_numpy(), max(8, int(leaf_rows * share)), least)
     starts, boxes = tree.arrays()
+    full = max(2 * leaf_rows, total // LEAVES)
+    while len(sample) < total:
+        crowded = points.select("lat", "lon").mapInPandas(_counter(starts), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > full).select("leaf").collect()
+        starts, boxes, cut = split_leaves(starts, boxes, {r["leaf"] for r in crowded}, least)
+        if not cut:
+            break
 
     placed = points.select("rep", "lat", "lon").mapInPandas(
         _assigner(starts, boxes, miles, radius),

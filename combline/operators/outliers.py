@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from combline.operators.quantiles import quantiles
 from combline.session import written
 
 #: A block is as long as that; with a halo of silence_s at each end it holds at most one standing row a second.
@@ -63,37 +64,66 @@ def _median_of_rows(m: np.ndarray) -> np.ndarray:
     return np.where(c > 0, mid, np.nan)
 
 
-def _levels(v: np.ndarray, t: np.ndarray, g: np.ndarray, near_s: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling medians of the up to NEIGHBOURS readings before and after each one, at most near_s away, in its group."""
+def _neighbours(v: np.ndarray, t: np.ndarray, g: np.ndarray, near_s: int) -> tuple[np.ndarray, np.ndarray]:
+    """The up to NEIGHBOURS readings before and after each one, at most near_s away, in its group; NaN where there is none."""
     n = len(v)
     before, after = np.full((n, NEIGHBOURS), np.nan), np.full((n, NEIGHBOURS), np.nan)
     for k in range(1, min(NEIGHBOURS, n - 1) + 1):
         ok = (g[k:] == g[:-k]) & (t[k:] - t[:-k] <= near_s)
         before[k:, k - 1] = np.where(ok, v[:-k], np.nan)
         after[:-k, k - 1] = np.where(ok, v[k:], np.nan)
-    return _median_of_rows(before), _median_of_rows(after)
+    return before, after
 
 
-def spike_starts(v: np.ndarray, t: np.ndarray, g: np.ndarray, near_s: int = 6 * 3600, longest: int = 3) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def hampel(v: np.ndarray, before: np.ndarray, after: np.ndarray, times: float) -> np.ndarray:
+    """Whether each value lies more than times the scaled median absolute deviation from the median of its window.
+
+    The window is the value with its neighbours before and after. With no deviation at all any other value stands out.
+    """
+    window = np.column_stack((before, v, after))
+    middle = _median_of_rows(window.copy())
+    spread = _median_of_rows(np.abs(window - middle[:, None]))
+    with np.errstate(invalid="ignore"):
+        return np.abs(v - middle) > times * 1.4826 * spread
+
+
+#: A value is a candidate if it lies more than so many scaled median absolute deviations from its window's median. Three
+#: readings off make up a part of a window of eleven, so its deviation stays that of the others; 1 keeps all that the exact
+#: test could accept on the data at hand, and the test with all values as candidates gives the same (tests).
+HAMPEL = 1.0
+
+
+def spike_starts(v: np.ndarray, t: np.ndarray, g: np.ndarray, near_s: int = 6 * 3600, longest: int = 3, times: float = HAMPEL) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each length: starts of the runs of readings that stand off from the level on both sides, and how far.
 
-    All readings of a run lie to one side of both levels; the levels agree to half the distance, and so do the readings
+    Candidates come from a Hampel filter; an exact test follows: all readings of a run lie to one side of both levels; the levels agree to half the distance, and so do the readings
     next to the run, so that neither a part of a longer stay nor a lasting change of level is found.
     """
-    before, after = _levels(v, t, g, near_s)
+    around = _neighbours(v, t, g, near_s)
+    odd = hampel(v, *around, times)
     out, n = [], len(v)
+    # only rows from which a run of candidates could start are looked at any further
+    reach = odd.copy()
+    for k in range(1, longest):
+        reach[:-k] |= odd[k:]
+        reach[k:] |= odd[:-k]
+    before, after = (np.full(n, np.nan) for _ in range(2))
+    at = np.flatnonzero(reach)
+    before[at], after[at] = _median_of_rows(around[0][at]), _median_of_rows(around[1][at])
     for size in range(1, longest + 1):
         m = n - size + 1
         if m < 3:
             break
         low, high = v[:m].copy(), v[:m].copy()
+        all_odd = odd[:m].copy()
         for k in range(1, size):
             np.minimum(low, v[k : m + k], out=low)
             np.maximum(high, v[k : m + k], out=high)
+            all_odd &= odd[k : m + k]
         b, a = before[:m], after[size - 1 :]
         with np.errstate(invalid="ignore"):
             off = np.maximum(low - np.maximum(a, b), np.minimum(a, b) - high)
-            ok = (off > 0) & (g[:m] == g[size - 1 :]) & (t[size - 1 :] - t[:m] <= near_s) & (np.abs(a - b) <= off / 2)
+            ok = all_odd & (off > 0) & (g[:m] == g[size - 1 :]) & (t[size - 1 :] - t[:m] <= near_s) & (np.abs(a - b) <= off / 2)
             left = np.full(m, np.nan)
             left[1:] = v[: m - 1]
             right = np.full(m, np.nan)
@@ -199,9 +229,10 @@ def implausible(
     """row_id, field_name and reason (impossible, frozen, spike) of each implausible value; a value may have several.
 
     df has one row per source (the two keys, as strings) and second. impossible: outside the field's bounds. frozen: in a
-    run of at least min_run equal values, nulls skipped, that no silence of more than silence_s cuts. spike: one to three
-    readings off the rolling medians of the readings before and after (up to five, at most near_s away), to one side, by
-    more than times the median absolute change between successive readings of that source and field.
+    run of at least min_run equal values, nulls skipped, that no silence of more than silence_s cuts. spike: of the values
+    that a Hampel filter (rolling median and median absolute deviation) lets stand out, one to three in a row off the
+    rolling medians of the readings before and after (up to five, at most near_s away), to one side, by more than times the
+    median absolute change between successive readings of that source and field.
 
     Null keys, ids and epochs are left out; null and NaN values are no readings of that field. Empty input: no rows.
     Other columns are ignored. Blocks of 16 days with a halo of silence_s are scanned apart, so a source of any size is
@@ -223,7 +254,9 @@ def implausible(
     placed = spread.withColumn("_core", F.col("_block") == F.col("_home")).drop("_home")
 
     def scanned(part: DataFrame, loose: float, label: str) -> DataFrame:
-        blocks = part.repartition("_k0", "_k1", "_block").sortWithinPartitions("_k0", "_k1", "_block", "_t", "_id")
+        # twice the session's partitions: the scan is the work, and a lump of blocks then weighs half
+        tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = part.repartition(tasks, "_k0", "_k1", "_block").sortWithinPartitions("_k0", "_k1", "_block", "_t", "_id")
         return written(blocks.mapInArrow(_scan(specs, min_run, silence_s, near_s, loose), _OUT_DDL), label)
 
     # candidates are kept by the block's own median change; the source's median decides
@@ -232,14 +265,8 @@ def implausible(
     source = ["_k0", "_k1", "field"]
     found = found.withColumnsRenamed({"k0": "_k0", "k1": "_k1"})
     changes = found.where(F.col("kind") == STEPS).select(*source, F.inline(F.arrays_zip("x", "n"))).groupBy(*source, "x").agg(F.sum("n").alias("n"))
-    by_size = Window.partitionBy(*source).orderBy("x")
-    whole = Window.partitionBy(*source)
-    ranked = changes.withColumn("_to", F.sum("n").over(by_size)).withColumn("_all", F.sum("n").over(whole))
-    lower, upper = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
-    medians = ranked.groupBy(*source).agg(
-        ((F.min(F.when(F.col("_to") >= lower, F.col("x"))) + F.min(F.when(F.col("_to") >= upper, F.col("x")))) / 2).alias("typical")
-    )
-    typical = written(medians, "typical")
+    # an exact median without ordering a source's changes in one task
+    typical = written(quantiles(changes, source, "x", "n", (0.5,)).select(*source, F.col("value").alias("typical")), "typical")
 
     spikes = found.where(F.col("kind") == SPIKE)
     # blocks far livelier than their source may have dropped a true candidate: those are scanned again without that sieve
@@ -249,7 +276,7 @@ def implausible(
         exploded.withColumn("_to", F.sum("n").over(in_block))
         .withColumn("_all", F.sum("n").over(Window.partitionBy(*source, "block")))
         .groupBy(*source, "block")
-        .agg(F.min(F.when(F.col("_to") >= upper, F.col("x"))).alias("lively"))
+        .agg(F.min(F.when(F.col("_to") >= F.expr("_all div 2 + 1"), F.col("x"))).alias("lively"))
     )
     again = written(of_block.join(typical, source).where(F.col("lively") * loose > F.col("typical") * times).select("_k0", "_k1", "block").distinct(), "again")
     if not again.isEmpty():

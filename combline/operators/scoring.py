@@ -21,9 +21,9 @@ def comparisons(features: DataFrame, metrics: list[Metric], cfg: Thresholds) ->
         for k, m in enumerate(metrics)
     ))
     long = features.select("region_id", "colony_id", "hive_id", "colony_side", F.inline(cells)).where("ok").drop("ok")
-    pool = Window.partitionBy("region_id", "metric")
-    long = long.withColumns({"peer_count": F.count(F.lit(1)).over(pool), "peer_mean": F.avg("value").over(pool), "peer_std": F.stddev_pop("value").over(pool)})
-    long = long.where(F.col("peer_count") >= cfg["scoring.min_peer_count"])
+    # sums are combined before they meet, so a region with most of the colonies never lies in one task
+    pool = long.groupBy("region_id", "metric").agg(F.count(F.lit(1)).alias("peer_count"), F.avg("value").alias("peer_mean"), F.stddev_pop("value").alias("peer_std"))
+    long = long.join(pool.where(F.col("peer_count") >= cfg["scoring.min_peer_count"]), ["region_id", "metric"])
     # nine digits: of two peers z is 1 in exact arithmetic, and a last bit must decide neither flags nor ranks
     z = F.when(F.col("peer_std") < 1e-6, F.lit(0.0)).otherwise(rounded((F.col("peer_mean") - F.col("value")) / F.col("peer_std") * F.col("sign"), 9))
     bound = F.sqrt(F.col("peer_count") - 1)
@@ -88,8 +88,10 @@ def with_gaps(scored: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def region_summary(scored: DataFrame) -> DataFrame:
-    """Per region: sites, colonies by status, and the two best of the normal ones."""
-    best = scored.where("status = 'normal'").withColumn("_k", F.row_number().over(Window.partitionBy("region_id").orderBy("score", "colony_id"))).where("_k <= 2")
+    """Per region: sites, colonies by status, and the two best of the normal ones (first the best of each part of a region)."""
+    best = scored.where("status = 'normal'").withColumn("_part", F.pmod(F.xxhash64("colony_id"), F.lit(64)))
+    for by in (["region_id", "_part"], ["region_id"]):
+        best = best.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("score", "colony_id"))).where("_k <= 2")
     top = best.groupBy("region_id").agg(F.max(F.when(F.col("_k") == 1, F.col("colony_id"))).alias("best_1"), F.max(F.when(F.col("_k") == 2, F.col("colony_id"))).alias("best_2"))
     g = scored.groupBy("region_id").agg(
         F.count_distinct("hive_id").alias("site_count"), F.count(F.lit(1)).alias("colony_count"), *(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("normal", "watch", "underperforming"))

@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 INDEX_ITEMS = 20_000
 #: At most so many blocks of items have maxima of their own; a hair under 1, so that rounding loses nothing.
 BLOCKS, SAFE = 64, 1 - 1e-6
+#: Most characters of item texts in one index, which goes with the tasks; and stretches looked at in one go.
+INDEX_CHARS, STRIPE = 32 << 20, 4_096
 _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 _WORD = re.compile(r"[^\W_]+")
 
@@ -62,40 +64,37 @@ class ItemIndex:
         for k, (docs, weights) in enumerate(zip(self.docs, self.weights)):
             np.maximum.at(self.block_most[k], np.array(docs) // self.block, weights)
 
-    def search(self, terms: list[int]) -> Iterator[int]:
-        """All items that score 1 or more for the distinct terms, by block-max WAND.
+    def search(self, terms: list[int], b: int) -> Iterator[int]:
+        """All items of block b that score 1 or more for the distinct terms, by WAND under the block's own maxima.
 
-        Blocks of items of which the terms' block maxima add up to less than 1 are skipped whole. In the others cursors
-        move over the postings; the pivot is the first item at which the block maxima up to it reach 1.
+        Cursors move over the postings; the pivot is the first item at which the maxima of the terms up to it reach 1.
         """
-        bounds = self.block_most[terms].sum(axis=0)
-        for b in np.flatnonzero(bounds >= SAFE):
-            end = (int(b) + 1) * self.block
-            lists = []
-            for t in terms:
-                if (most := self.block_most[t, b]) > 0:
-                    docs = self.docs[t]
-                    at = bisect_left(docs, end - self.block)
-                    lists.append([docs[at], at, t, most])
-            while lists:
-                lists.sort()
-                total, pivot = 0.0, -1
-                for k, c in enumerate(lists):
-                    total += c[3]
-                    if total >= SAFE:
-                        pivot = k
-                        break
-                if pivot < 0:
+        end = (b + 1) * self.block
+        lists = []
+        for t in terms:
+            if (most := self.block_most[t, b]) > 0:
+                docs = self.docs[t]
+                at = bisect_left(docs, end - self.block)
+                lists.append([docs[at], at, t, most])
+        while lists:
+            lists.sort()
+            total, pivot = 0.0, -1
+            for k, c in enumerate(lists):
+                total += c[3]
+                if total >= SAFE:
+                    pivot = k
                     break
-                item = lists[pivot][0]
-                if lists[0][0] == item:
-                    here = [c for c in lists if c[0] == item]
-                    if sum(self.weights[t][at] for _, at, t, _ in here) >= SAFE:
-                        yield item
-                    self._advance(here, item + 1, end)
-                else:
-                    self._advance(lists[:pivot], item, end)
-                lists = [c for c in lists if c[0] < end]
+            if pivot < 0:
+                return
+            item = lists[pivot][0]
+            if lists[0][0] == item:
+                here = [c for c in lists if c[0] == item]
+                if sum(self.weights[t][at] for _, at, t, _ in here) >= SAFE:
+                    yield item
+                self._advance(here, item + 1, end)
+            else:
+                self._advance(lists[:pivot], item, end)
+            lists = [c for c in lists if c[0] < end]
 
     def _advance(self, lists: list[list], item: int, end: int) -> None:
         """Moves cursors to their first posting at or after item."""
@@ -106,29 +105,42 @@ class ItemIndex:
 
     def leaks(self, text: str, passage: int = 48) -> set[int]:
         """Ids of the items of which the text holds a stretch of min_words words."""
+        m = self.min_words
         words = words_of(text)
-        if len(words) < self.min_words or not self.ids:
+        if len(words) < m or not self.ids:
             return set()
         get = self.term.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        # only where the words of a stretch can add up to 1 is there a pivot; such stretches that touch make up passages,
-        # which overlap so that every stretch lies whole in one
+        # only where the words of a stretch can add up to 1 is there a pivot
         sums = np.concatenate(([0.0], np.cumsum(self.most[ids])))
-        live = np.flatnonzero(sums[self.min_words :] - sums[: -self.min_words] >= 1 - 1e-9)
+        live = np.flatnonzero(sums[m:] - sums[:-m] >= SAFE)
+        found: set[int] = set()
         if not len(live):
-            return set()
-        parts = np.split(live, np.flatnonzero(np.diff(live) > 1) + 1)
-        step = passage - self.min_words + 1
-        spans = [(k, min(k + passage, int(p[-1]) + self.min_words)) for p in parts for k in range(int(p[0]), int(p[-1]) + 1, step)]
+            return found
+        for part in np.split(live, np.flatnonzero(np.diff(live) > STRIPE) + 1):
+            for lo in range(int(part[0]), int(part[-1]) + 1, STRIPE):
+                found |= self._stripe(words, ids, lo, min(lo + STRIPE - 1, int(part[-1])), passage)
+        return found
+
+    def _stripe(self, words: list[str], ids: np.ndarray, lo: int, hi: int, passage: int) -> set[int]:
+        """Leaks in the stretches that begin at lo to hi. Block by block: stretches whose words cannot reach 1 under the block's maxima are skipped; touching ones make up a passage, which is one query."""
+        m = self.min_words
+        sums = np.cumsum(np.vstack((np.zeros(self.block_most.shape[1]), self.block_most[ids[lo : hi + m]])), axis=0)
+        starts, blocks = np.nonzero((sums[m:] - sums[:-m] >= SAFE).T)[::-1]
         found: set[int] = set()
-        for a, b in spans:
-            terms = [int(t) for t in np.unique(ids[a:b]) if t >= 0]
+        k = 0
+        while k < len(starts):
+            e = k + 1
+            while e < len(starts) and blocks[e] == blocks[k] and starts[e] == starts[e - 1] + 1 and starts[e] - starts[k] <= passage - m:
+                e += 1
+            a, z = lo + int(starts[k]), lo + int(starts[e - 1])
             seen = None
-            for n in self.search(terms):
+            for n in self.search(sorted({int(t) for t in ids[a : z + m] if t >= 0}), int(blocks[k])):
                 if seen is None:
-                    seen = {tuple(words[j : j + self.min_words]) for j in range(a, b - self.min_words + 1)}
+                    seen = {tuple(words[j : j + m]) for j in range(a, z + 1)}
                 if not seen.isdisjoint(self.stretches[n]):
                     found.add(self.ids[n])
+            k = e
         return found
 
 
@@ -139,11 +151,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item
     not count. Null and empty texts hold nothing; items of fewer words than min_words cannot leak. Repeated rows count
     once. Empty inputs: no rows. Other columns are ignored.
 
-    Items are counted; up to INDEX_ITEMS go with the tasks as one index, more in blocks of that many, one after another.
-    Every passage of every document is a query, and everything at or above the threshold is verified.
+    Items and their characters are counted; up to INDEX_ITEMS and INDEX_CHARS go with the tasks as one index, more in parts
+    of that size, one after another. Every passage of every document is a query, and everything at or above the threshold is verified.
     """
     known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, math.ceil(known.count() / INDEX_ITEMS))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c"), F.coalesce(F.max(F.length("t")), F.lit(0)).alias("longest")).first()
+    if size["longest"] > INDEX_CHARS:
+        raise ValueError(f"an item of {size['longest']} characters is too long to go with every task")
+    blocks = max(1, math.ceil(size["n"] / INDEX_ITEMS), math.ceil(2 * size["c"] / INDEX_CHARS) if size["c"] > INDEX_CHARS else 1)
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for k in range(blocks):

@@ -113,5 +113,27 @@ dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: arr
 ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
+# the test texts' own wordings, written down by hand: independent of what the operator has learnt from other wordings
+_SLOT = "|".join([
+    r"\{\{[^{}]+\}\}", r"[$#]\{[^{}]+\}", r"<%[^%]+%>", r"\{%[^%]+%\}", r"%\([A-Za-z_.]+\)[sdif]", r"%[A-Z][A-Z0-9_.]+%", r"\[\[[^\[\]]+\]\]", r"\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter) [^\]]+\]", r"«[^»]+»",
+    r"<[a-z][a-z_ ]* here>", r"@@[A-Za-z][A-Za-z0-9_.]*@@", r"__[A-Z][A-Z0-9_.]*__", r"\{[A-Za-z_][A-Za-z0-9_.]*(?::[^{}]*)?\}", r"\{\d+\}", r"\[object Object\]", r"\bNaN\b", r"\bundefined\b", r"\bnull\b", r"#(?:N/A|REF!|VALUE!|NAME\?|DIV/0!)",
+])
+_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua quis nulla augue lectus arcu mollis tempus porta velit ornare ornat risus risum placerat placet fermentum fermo mandor vexil vestibulum vel"
+_KEYS = "|".join([*(f"{c}{{3,}}" for c in "abcdefghijklmnopqrstuvwxyz"), r"asdf\w*", r"qwer\w*", r"zxcv\w*", r"hjkl\w*", "jkl;?", "test", "blah", "foo", "bar", "baz"])
+_FILLER = rf"(?:\b(?:{_LATIN.replace(' ', '|')})\b[\s.,;]*){{4,}}|(?:\b(?:{_KEYS})(?:[;\s.,]+|$)){{4,}}|(?:\btext ){{4,}}"
+_HOLLOW = r"\b(?:your|the) text (?:goes|comes) here|\bbody copy to come|\b(?:sample|dummy|placeholder|example) (?:paragraph|text)\b.*\b(?:replace|here|publish)|^description of this page|^(?:write|enter|insert|put|type) (?:the|your|a) .*\bhere\W*$|\bva (?:aquí )?el texto\b|\bhier steht später\b|\bvotre texte ici\b"
+_NOTICE = "|".join([
+    r"^error \d+", r"^\d+ (?:not found|forbidden|bad gateway|gateway time-?out|internal server error|service unavailable)", r"<(?:html|head|title|h1|body|center)>", r"^\W*\{ ?.?error.? ?:", r"^traceback", r"^file .*line \d+", r"^\w*error: ", r"^warning: .*\bline",
+    r"^upstream\b", r"\bpage could not be found", r"^oops|^that page has flown", r"no longer available|moved or taken down", r"^service temporarily|performing maintenance", r"^too many requests|^slow down", r"^access denied|address was blocked|do not have permission", r"session has expired|sign in again to continue",
+    r"^(?:please |you need to )?enable javascript|^javascript is|dashboard needs it to run|scripts are|scripts turned on|not support scripts|^unsupported browser|^checking your connection|^this can take up to|^loading", r"^página no encontrada|enlace puede estar roto|activar javascript", r"seite existiert nicht|aktivieren sie javascript|prüfen sie die adresse", r"activer javascript|momentanément indisponible",
+])
+_FRAME = r"^home \||^menu -|^back to dashboard|^(?:request id|reference) ?[:#]|^\(c\)|^cookies must|^then reload|^if the problem persists|^go back to the start|^week \d+$|^heading \d+$|allow them and reload"
+_ABOUT = r"\b(?:my|says|asked|whenever|template|field|export writes|script puts|mail script|proof)\b"
+_P10 = """WITH s AS (SELECT doc_id, trim(regexp_replace(replace(unnest(string_split_regex(regexp_replace(text, '([.!?;])[ \\t\\x{a0}]+([\\p{Lu}\\[{<«$#%@_])', '\\1\n\\2', 'g'), '[\r\n]+')), 'Â«', '«'), '^(?:[>\\-*• ]|\\[\\d\\d:\\d\\d\\])+|\\s+$', '', 'g')) AS m FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT doc_id, m, lower(m) AS l FROM s WHERE m <> ''),
+v AS (SELECT doc_id, (regexp_matches(m, '""" + _SLOT + """') OR regexp_matches(l, '""" + _HOLLOW + """')) AND NOT regexp_matches(l, '""" + _ABOUT + """') OR regexp_matches(l, '""" + _FILLER + """') AS empty,
+  regexp_matches(l, '""" + _NOTICE + """') AND NOT regexp_matches(l, '""" + _ABOUT + """') AS notice, regexp_matches(l, '""" + _FRAME + """') AS frame FROM c)
+SELECT doc_id FROM v GROUP BY doc_id HAVING bool_or(empty) OR (bool_or(notice) AND bool_and(notice OR frame))"""
+
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p8_pack": p8_pack, "p8_feasible": p8_feasible, "p9_found": p9_found, "p10_found": p10_found}
-SQL = {"p2_found": _P2, "p3_found": _P3, "p8_feasible": _P8, "p9_found": _P9}
+SQL = {"p2_found": _P2, "p3_found": _P3, "p8_feasible": _P8, "p9_found": _P9, "p10_found": _P10}

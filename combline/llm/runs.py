@@ -15,6 +15,8 @@ DAYPARTS = ["morning", "afternoon", "evening", "night", "day", "midday", "noon",
 SHORTHAND = {"&": "and", "+": "and", "n": "and", "w": "with"}
 #: Parts of the day so long that a word one letter away is one of them, mistyped; a short one may be another word ("dry", "light").
 _LONG = [d for d in DAYPARTS if len(d) >= 7]
+#: One slip leaves the first three letters or the last three as they are.
+_LIKE_LONG = f"^(?:{'|'.join(sorted({d[:3] for d in _LONG}))})|(?:{'|'.join(sorted({d[-3:] for d in _LONG}))})$"
 SAME, DIFFERENT, CHECK = "same", "different", "check"
 
 
@@ -28,7 +30,7 @@ def said(text: Column) -> Column:
     words = F.filter(F.split(spaced, "[^\\p{L}\\p{N}&+]+"), lambda w: w != "")
     short = F.create_map(*[F.lit(x) for kv in SHORTHAND.items() for x in kv])
     long = F.array(*map(F.lit, _LONG))
-    typo = lambda w: (F.length(w) >= 6) & ~w.isin(DAYPARTS) & F.exists(long, lambda d: _one_off(w, d))
+    typo = lambda w: (F.length(w) >= 6) & w.rlike(_LIKE_LONG) & ~w.isin(DAYPARTS) & F.exists(long, lambda d: _one_off(w, d))
     kept = F.filter(words, lambda w: ~w.isin(DAYPARTS))
     plain = F.array_join(F.transform(F.filter(kept, lambda w: ~typo(w)), lambda w: F.coalesce(short[w], w)), "")
     spent = F.when(F.exists(kept, typo), "!").otherwise("")

@@ -16,7 +16,7 @@ from zoneinfo import ZoneInfo
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from combline.sources.readings import hourly_sources
+from combline.sources.readings import hourly_rows, hourly_sources, write_sensor_cache, write_weather_cache
 
 #: Addresses of the public weather service and the measures asked for.
 SERVICES = {"recent": "https://api.open-meteo.com/v1/forecast", "archive": "https://archive-api.open-meteo.com/v1/archive"}
@@ -93,3 +93,20 @@ def weather_documents(sites: DataFrame, start: date, end: date, today: date, zon
             yield pd.DataFrame(rows, columns=["hive_id", "latitude", "longitude", "payload"])
 
     return sites.select("hive_id", "latitude", "longitude").dropna().repartition("hive_id").mapInPandas(fetch, "hive_id string, latitude double, longitude double, payload string")
+
+
+def refresh(
+    sites: DataFrame, sensor_dir: str, weather_dir: str, days: int, zone: str, make_client: Callable[[], Any], table: str, request: Callable[[str], dict] = request_hourly, end: datetime | None = None
+) -> None:
+    """Both caches of the last days, written anew: device rows by site, weather in one table. Device rows are fetched once."""
+    from pyspark.sql import functions as F
+
+    from combline.session import written
+
+    first, last = time_range(days, zone, end)
+    rows = written(device_rows(sites, make_client, table, first, last), "device-rows")
+    for s in sites.select("hive_id", "device_uid").collect():  # the inventory names the files
+        write_sensor_cache(rows.where(F.col("device_uid") == s["device_uid"]), f"{sensor_dir}/{s['hive_id']}_SENS.csv")
+    upto = (end or datetime.now(ZoneInfo(zone))).date()
+    documents = weather_documents(sites, upto - timedelta(days=days - 1), upto, upto, zone, request)
+    write_weather_cache(hourly_rows(documents), f"{weather_dir}/all_data.csv")

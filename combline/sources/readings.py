@@ -69,10 +69,10 @@ def _required(spark: SparkSession, folder: str, label: str) -> None:
 def read_sensor_cache(spark: SparkSession, folder: str, sites: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """Readings of <hive_id>_SENS.csv files in the shape of the readings table; rows of another device than the site's are left out.
 
-    reading_id is made of the file's rows in no fixed order; it only tells rows apart. A missing folder raises.
+    reading_id is made of the file's rows in no fixed order; it only tells rows apart. A missing folder raises, and so does a cell that is no number.
     """
     _required(spark, folder, "sensor")
-    rows = spark.read.csv(f"{folder}/*_SENS.csv", header=True, schema=SENSOR_CSV, escape='"').withColumn("hive_id", F.regexp_extract(F.input_file_name(), r"([^/]+)_SENS\.csv$", 1))
+    rows = spark.read.csv(f"{folder}/*_SENS.csv", header=True, schema=SENSOR_CSV, escape='"', mode="FAILFAST").withColumn("hive_id", F.regexp_extract(F.input_file_name(), r"([^/]+)_SENS\.csv(?:/[^/]+)?$", 1))
     known = rows.join(sites.select("hive_id", "device_uid"), ["hive_id", "device_uid"])
     local = F.timestamp_add("SECOND", wall_of(F.col("timestamp"), zone), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     return split_sides(attribute_values(known)).select(
@@ -87,9 +87,9 @@ def wall_of(epoch: Column, zone: str) -> Column:
 
 
 def read_weather_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of <hive_id>_data.csv files; empty cells are null. A missing folder raises."""
+    """Rows of <hive_id>_data.csv files; empty cells are null. A missing folder raises, and so does a cell that is no number."""
     _required(spark, folder, "weather")
-    return spark.read.csv(f"{folder}/*_data.csv", header=True, schema=WEATHER_CSV).withColumn("obs_id", F.monotonically_increasing_id()).withColumnsRenamed(
+    return spark.read.csv(f"{folder}/*_data.csv", header=True, schema=WEATHER_CSV, escape='"', mode="FAILFAST").withColumn("obs_id", F.monotonically_increasing_id()).withColumnsRenamed(
         {"date": "observed_date", "temperature_F": "temperature_f", "pressure_hPa": "pressure_hpa", "cloudiness_percent": "cloudiness_pct", "humidity_percent": "humidity_pct", "weather_condition_code": "weather_code", "weather_overview": "overview"}
     )
 

@@ -1,7 +1,7 @@
 from datetime import date, datetime
 
 from combline.sources import fetch
-from combline.sources.readings import hourly_rows, hourly_sources
+from combline.sources.readings import hourly_rows, hourly_sources, read_sensor_cache, read_weather_cache
 
 
 class Pages:
@@ -38,3 +38,17 @@ def test_services_share_a_range(spark):
     sites = spark.createDataFrame([("A", 1.0, 2.0), ("B", None, 2.0)], "hive_id string, latitude double, longitude double")
     docs = fetch.weather_documents(sites, date(2026, 1, 1), today, today, "America/New_York", _answer)
     assert sorted((r.hive_id, str(r.observed_date)) for r in hourly_rows(docs).collect()) == [("A", "2026-01-01"), ("A", "2027-01-01")]
+
+
+class Left(Pages):
+    def query(self, **ask):
+        cell = {k: {"N": "40"} for k in ("wL", "tL", "hL")}
+        return {"Items": [{"device_uid": ask["ExpressionAttributeValues"][":d"], "timestamp": {"N": "1783091640"}, "sensor_data": {"M": cell}}]}
+
+
+def test_refreshed_caches_read_back(spark, tmp_path):
+    sites = spark.createDataFrame([("A", "d1", 1.0, 2.0), ("B", "d2", 3.0, 4.0)], "hive_id string, device_uid string, latitude double, longitude double")
+    fetch.refresh(sites, str(tmp_path / "s"), str(tmp_path / "w"), 7, "America/New_York", Left, "t", _answer, datetime(2027, 1, 2))
+    assert sorted((r.hive_id, r.device_uid, r.weight_kg) for r in read_sensor_cache(spark, str(tmp_path / "s"), sites).collect()) == [("A", "d1", 40.0), ("B", "d2", 40.0)]
+    w = read_weather_cache(spark, str(tmp_path / "w")).orderBy("hive_id").collect()
+    assert [(r.hive_id, r.latitude, r.clock_time, r.weather_code) for r in w] == [("A", 1.0, "07:00", 0), ("B", 3.0, "07:00", 0)]

@@ -58,6 +58,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df by keys over as many partitions as the session has, however few its bytes: for Python work that costs more than its rows weigh."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether path is there on the file system that Spark itself would use for it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -39,18 +39,20 @@ def regular_grid(
         F.col(epoch).cast("bigint").alias("_t"),
         F.col(order_id).cast("bigint").alias("_o"),
     )
-    for c in (*keys, "_slot", "_v"):
+    # _block too: so both uses of the buckets have the same filters
+    for c in (*keys, "_slot", "_block", "_v"):
         src = src.where(F.col(c).isNotNull())
     # second within the slot and id in one long (20 and 42 bits), so that the buffers stay of fixed width
     late = F.shiftleft(F.col("_t") - F.col("_slot") * step_s, 42) + F.pmod(F.coalesce("_o", F.lit(0)), F.lit(1 << 42))
-    buckets = src.groupBy(*keys, "_block", "_slot").agg(F.max_by("_v", late).alias("_v"))
+    # never null, but asking for it keeps the optimiser from computing slots without values apart: both uses share one exchange
+    buckets = src.groupBy(*keys, "_block", "_slot").agg(F.max_by("_v", late).alias("_v")).where(F.col("_v").isNotNull())
 
     per_block = buckets.groupBy(*keys, "_block").agg(
         F.min("_slot").alias("_first"), F.max("_slot").alias("_last"), F.max_by("_v", "_slot").alias("_last_v")
     )
     in_time = Window.partitionBy(*keys).orderBy("_block")
     blocks = per_block.select(
-        *keys, "_block", "_first", "_last",
+        *keys, "_block", "_first", "_last", "_last_v",
         F.lag("_last").over(in_time).alias("_in_slot"),
         F.lag("_last_v").over(in_time).alias("_in_v"),
         F.lead("_first").over(in_time).alias("_out_slot"),
@@ -59,13 +61,12 @@ def regular_grid(
     # an occupied block also stands for the empty blocks up to the next occupied one
     pieces = blocks.select(
         *keys, F.explode(F.expr("sequence(_block, coalesce(_next_block - 1, _block))")).alias("_b"),
-        "_block", "_first", "_last", "_in_slot", "_in_v", "_out_slot",
+        "_block", "_first", "_last", "_last_v", "_in_slot", "_in_v", "_out_slot",
     )
-    carried = per_block.select(*keys, F.col("_block"), F.col("_last_v"))
     own = F.col("_b") == F.col("_block")
     lo = F.greatest(F.col("_b") * block_slots, F.when(F.col("_in_slot").isNull() & own, F.col("_first")).otherwise(F.col("_b") * block_slots))
     hi = F.least((F.col("_b") + 1) * block_slots - 1, F.coalesce(F.col("_out_slot"), F.col("_last")))
-    skeleton = pieces.join(carried, [*keys, "_block"]).select(
+    skeleton = pieces.select(
         *keys,
         F.col("_b").alias("_block"),
         F.explode(F.sequence(lo, hi)).alias("_slot"),

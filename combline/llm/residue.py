@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from combline.llm.messages import ANY, FILL, MARK, NUMBER, SLOT, Judge, judge
 from combline.llm.phrases import HOLLOW, NOTICE
 from combline.operators.heavy import dictionary_join
-from combline.session import written
+from combline.session import spread, written
 
 #: From here on a message is taken for a notice or a hollow text at all; and a document of notices for an error page.
 SURE, MOSTLY = 0.66, 0.6
@@ -112,7 +112,7 @@ def segments(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     cut = r"[\r\n]+|(?<=[.!?;])[ \t ]+(?=[\p{Lu}\[{<«$#%@_*])"
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.explode(F.split(F.col(text), cut)).alias("s"))
     s: Column = F.regexp_replace(F.translate("s", "­​‌‍⁠﻿ \t", "\u0000\u0000\u0000\u0000\u0000\u0000  "), r"\u0000+|^(?:[>\-•* ]|\[\d{1,2}:\d{2}\])+(?![|*])|(?<= ) +|\s+$", "")
-    s = F.regexp_replace(s, r"(?<![\w{])(?=\w*\d)\w+(?:[.,:]\w*\d\w*)*(?![\w}])", NUMBER)
+    s = F.when(s.rlike("[0-9]"), F.regexp_replace(s, r"(?<![\w{])(?=\w*\d)\w+(?:[.,:]\w*\d\w*)*(?![\w}])", NUMBER)).otherwise(s)
     return rows.select("doc_id", F.trim(s).alias("message")).where("message <> ''")
 
 
@@ -148,16 +148,30 @@ class PrefixTree:
         return " ".join(self.words[c] for c in self.table[k])
 
 
-def _mine(column: str, out: str, similar: float):
-    """Adds to each row of a leaf the template of its text; in the order of the texts, so it doesn't matter how rows arrive."""
+def _mine(keys: list[str], column: str, out: str, similar: float):
+    """Adds to each row the template of its text within the group of its keys. Rows come sorted by keys and text, so it does not matter how they arrived; a group's texts are held until it ends."""
 
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(column)
-        tokens = [m.split(" ") for m in pdf[column]]
-        tree = PrefixTree(similar, len(tokens[0]))
-        at = [tree.add(t) for t in tokens]
-        pdf[out] = [tree.template(k) for k in at]
-        return pdf
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, tree, texts, at = None, None, [], []
+        done: list[tuple] = []
+
+        def close() -> None:
+            names = {k: tree.template(k) for k in set(at)} if texts else {}
+            done.extend((*group, t, names[k]) for t, k in zip(texts, at))
+            texts.clear()
+            at.clear()
+
+        for b in batches:
+            for *key, text in zip(*(b[c] for c in (*keys, column))):
+                if key != group:
+                    close()
+                    group, tree = key, PrefixTree(similar, text.count(" ") + 1)
+                texts.append(text)
+                at.append(tree.add(text.split(" ")))
+            yield pd.DataFrame(done, columns=[*keys, column, out])
+            done.clear()
+        close()
+        yield pd.DataFrame(done, columns=[*keys, column, out])
 
     return mine
 
@@ -174,8 +188,10 @@ def mine_templates(messages: DataFrame, depth: int = 3, similar: float = 0.7, pa
     placed = messages.select("message", F.concat_ws(" ", F.size(tokens).cast("string"), plain).alias("leaf"))
     parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
     placed = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("message"), F.col("parts"))).select("leaf", "part", "message")
-    local = written(placed.groupBy("leaf", "part").applyInPandas(_mine("message", "local", similar), "leaf string, part bigint, message string, local string"), "local-templates")
-    merged = local.select("leaf", "local").distinct().groupBy("leaf").applyInPandas(_mine("local", "template", similar), "leaf string, local string, template string")
+    ordered = spread(placed, "leaf", "part").sortWithinPartitions("leaf", "part", "message")
+    local = written(ordered.mapInPandas(_mine(["leaf", "part"], "message", "local", similar), "leaf string, part bigint, message string, local string"), "local-templates")
+    again = spread(local.select("leaf", "local").distinct(), "leaf").sortWithinPartitions("leaf", "local")
+    merged = again.mapInPandas(_mine(["leaf"], "local", "template", similar), "leaf string, local string, template string")
     return local.join(merged, ["leaf", "local"]).select("message", "template")
 
 
@@ -237,8 +253,8 @@ def residue(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     parts = written(segments(df, doc_id, text), "segments")
     known = written(parts.groupBy("message").agg(F.count(F.lit(1)).alias("n")), "messages")
     mined = written(mine_templates(known), "templates")
-    verdicts = mined.select("template").distinct().mapInPandas(_judged(sent), "template string, notice double, hollow double, other double")
-    gaps = known.select("message").mapInPandas(_unfilled(sent), "message string, empty boolean, maybe array<int>")
+    verdicts = spread(mined.select("template").distinct(), "template").mapInPandas(_judged(sent), "template string, notice double, hollow double, other double")
+    gaps = spread(known.select("message"), "message").mapInPandas(_unfilled(sent), "message string, empty boolean, maybe array<int>")
     each = mined.join(verdicts, "template").join(gaps.where(F.col("empty") | (F.size("maybe") > 0)), "message", "left")
     varies = F.exists("maybe", lambda k: F.element_at(F.split("template", " "), k + 1) == ANY)
     bare = F.coalesce(F.col("empty"), F.lit(False)) | F.coalesce(varies, F.lit(False)) | (F.col("hollow") >= SURE)

@@ -88,6 +88,7 @@ def normalise_instants(rows: DataFrame, dictionary_path: str | None = None) -> D
     over runs: entries already there, readable or not, are not parsed again, and new ones are added. Without, they lie in the
     session's shared folder for this run. Repeated rows come out as often as they go in. An empty input gives no rows.
     """
+    rows = written(rows, "stamp-rows")  # three plans read them
     distinct = written(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "distinct-stamps")
     if dictionary_path is None:
         known = written(distinct.select(*KEY).mapInPandas(_parse, _ENTRY), "stamps")

@@ -162,9 +162,11 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame
     at = at.withColumn("island", F.coalesce(F.col("island").cast("string"), F.lit("")))
     ordered = at.repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq").drop("seq")
     folded = ordered.mapInPandas(_fold(cfg), _FOLDED)
-    rest = r.select("colony_id", "ord", "sure").where("sure").select("colony_id", "ord", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reasons"), F.lit(None).cast("double").alias("note_kg"), F.lit(None).cast("int").alias("note_n"))
-    verdicts = rest.unionByName(folded)
-    return r.drop("bad", "calm", "settling", "sure", "_blk").join(verdicts, ["colony_id", "ord"])
+    # only suspects are joined to what was decided on them
+    bare = r.drop("bad", "calm", "settling", "_blk")
+    none = {"kept": F.lit(True), "reasons": F.lit(None).cast("string"), "note_kg": F.lit(None).cast("double"), "note_n": F.lit(None).cast("int")}
+    decided = bare.where(~F.col("sure")).join(folded, ["colony_id", "ord"])
+    return bare.where("sure").withColumns(none).unionByName(decided).drop("sure")
 
 
 def quality_flags(judged_readings: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -217,16 +217,16 @@ def _tile_pairs(miles: float, radius: float):
     return tile
 
 
-def near_pairs(
+def near_classes(
     df: DataFrame, id_col: str, lat: str, lon: str, miles: float, radius: float = EARTH_RADIUS_MILES, leaf_rows: int = 2_000, tile_rows: int = 8_000, sample_rows: int = SAMPLE
-) -> DataFrame:
-    """id_a, id_b (strings, id_a < id_b in byte order) of all pairs at most miles apart on the great circle.
+) -> tuple[DataFrame, DataFrame]:
+    """Members (_site, rep, n) and links (rep_a, rep_b): ids that share a position are a class named by its smallest id, with n
+    members; links are between classes at most miles apart on the great circle, each once, rep_a < rep_b in byte order.
 
-    Rows with a null id, a null or NaN coordinate, |latitude| > 90 or |longitude| > 180 have no pairs. Ids with the same
-    position pair at distance 0; a repeated row counts once. Pairs over the antimeridian and around the poles are found.
+    Rows with a null id, a null or NaN coordinate, |latitude| > 90 or |longitude| > 180 are left out. A repeated row counts once. Pairs over the antimeridian and around the poles are found.
     Empty input: no rows. Other columns are ignored.
 
-    Equal positions are one point of the join and are expanded at the end. A quadtree over a sample of at most SAMPLE
+    Equal positions are one point of the join. A quadtree over a sample of at most SAMPLE
     positions (deterministic: smallest hashes) sets the leaves; each position goes to its own leaf as a probe and to every
     leaf that its box of reach touches as a target. A pair is found only in the leaf that owns the position of its smaller
     id, so nothing is found twice. Leaves are counted exactly, and crowded ones are cut in four again and again, down to a
@@ -235,7 +235,7 @@ def near_pairs(
     """
     ok = F.col("_lat").between(-90.0, 90.0) & F.col("_lon").between(-180.0, 180.0)
     sites = df.select(F.col(id_col).cast("string").alias("_site"), (F.col(lat).cast("double") + 0.0).alias("_lat"), (F.col(lon).cast("double") + 0.0).alias("_lon"))
-    sites = sites.where(F.col("_site").isNotNull() & ok)
+    sites = written(sites.where(F.col("_site").isNotNull() & ok).distinct(), "sites")
     points = written(sites.groupBy("_lat", "_lon").agg(F.min("_site").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "n"), "points")
     total = points.count()
     sample = points.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(sample_rows).toPandas()
@@ -269,10 +269,29 @@ def near_pairs(
     )
     pairs = written(pairs.distinct(), "pairs")  # a target and its copy a turn away may meet a probe in two tiles
 
-    crowd = points.where("n > 1")
-    members = sites.join(crowd.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "rep", "n"), ["_lat", "_lon"]).select("rep", "_site", "n").distinct()
+    members = sites.join(points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "rep", "n"), ["_lat", "_lon"]).select("_site", "rep", "n")
+    return members, pairs
+
+
+def near_counts(df: DataFrame, id_col: str, lat: str, lon: str, miles: float, **limits) -> DataFrame:
+    """site, class_id, links of each id with a position: the smallest id at the same position, and how many other ids lie at most miles away. Grows with the ids, not with the pairs."""
+    members, links = near_classes(df, id_col, lat, lon, miles, **limits)
+    size = members.select("rep", "n").distinct()
+    both = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
+    far = both.join(size.select(F.col("rep").alias("other"), F.col("n").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("far"))
+    return members.join(far, "rep", "left").select(F.col("_site").alias("site"), F.col("rep").alias("class_id"), (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"))
+
+
+def near_pairs(df: DataFrame, id_col: str, lat: str, lon: str, miles: float, radius: float = EARTH_RADIUS_MILES, **limits) -> DataFrame:
+    """id_a, id_b (strings, id_a < id_b in byte order) of all pairs at most miles apart on the great circle.
+
+    The links of near_classes, with the members of each class put in their place; ids with the same position pair at
+    distance 0. A large class is met in slices, so it never multiplies in one task. near_counts tells as much without pairs.
+    """
+    members, pairs = near_classes(df, id_col, lat, lon, miles, radius, **limits)
+    crowd = members.where("n > 1").select("rep", "n").distinct()
     # salts split a crowd: every member of a position is met by one slice of the other side at a time
-    salted = members.select("rep", "_site", F.pmod(F.xxhash64("_site"), F.ceil(F.col("n") / 1024)).alias("_salt"))
+    salted = members.where("n > 1").select("rep", "_site", F.pmod(F.xxhash64("_site"), F.ceil(F.col("n") / 1024)).alias("_salt"))
     salts = crowd.select("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / 1024) - 1)).alias("_salt"))
     same = salts.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
     links = pairs.unionByName(same.distinct())

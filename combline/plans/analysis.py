@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from combline.config import Thresholds
 from combline.operators import features, quality, regions, scoring, steps
-from combline.operators.spatial import near_pairs
+from combline.operators.spatial import near_classes
 from combline.session import written
 
 
@@ -39,10 +39,10 @@ class Analysis:
 
     @cached_property
     def regions(self) -> DataFrame:
-        """hive_id and region_id of each site with a position: the components within the radius."""
-        placed = self.sites.where(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180))
-        pairs = near_pairs(placed, "hive_id", "latitude", "longitude", float(self.cfg["regions.region_radius_miles"]), self.cfg["regions.earth_radius_miles"])
-        return written(regions.components(placed.select("hive_id"), pairs, "hive_id").withColumnRenamed("component", "region_id"), "regions")
+        """hive_id and region_id of each site with a position: the components within the radius, named by their smallest site. Sites at one position are one node."""
+        members, links = near_classes(self.sites, "hive_id", "latitude", "longitude", float(self.cfg["regions.region_radius_miles"]), self.cfg["regions.earth_radius_miles"])
+        found = regions.components(members.select("rep"), links.withColumnsRenamed({"rep_a": "id_a", "rep_b": "id_b"}), "rep")
+        return written(members.join(found, "rep").groupBy(F.col("_site").alias("hive_id")).agg(F.min("component").alias("region_id")), "regions")
 
     @cached_property
     def features(self) -> DataFrame:

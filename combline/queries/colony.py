@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from combline.config import Thresholds
-from combline.functions.weather import RAINY_CODES
+from combline.functions.weather import describe
 from combline.operators import features as ft
 from combline.operators import quality as qf
 from combline.operators import regions, scoring, steps, validation
@@ -184,6 +184,13 @@ def dominant_overview(spark, d):
     return ft.dominant_overview(_weather(spark, d))
 
 
+def weather_sentences(spark, d):
+    w = _weather(spark, d)
+    hour = F.substring("clock_time", 1, 2).cast("int")
+    words = describe(hour, F.col("temperature_f"), F.col("humidity_pct"), F.col("cloudiness_pct"), F.col("weather_code"))
+    return w.select("obs_id", words.alias("sentence")).where("sentence is not null")
+
+
 def weather_date_filter(spark, d):
     return ft.on_days(_weather(spark, d), _readings(spark, d)).select("obs_id")
 
@@ -210,6 +217,15 @@ def features_flat(spark, d):
     return f.select("colony_id", "region_id", *(F.col(c).cast("bigint").alias(c) for c in _COUNTS), *(_q(c, 4).alias(c) for c in _FLAT), _q("weight_slope_pct_per_day", 4).alias("weight_slope_pct_per_day"))
 
 
+def run_metadata(spark, d):
+    f = _all(spark, d).features
+    out = f.agg(
+        F.count(F.lit(1)).alias("colony_count"), F.count_distinct("region_id").alias("region_count"), F.sum("sample_count").alias("valid_sensor_reading_count"), F.sum("excluded_reading_count").alias("excluded_sensor_reading_count"),
+        F.sum("weight_event_count").alias("weight_event_count"), F.count_if(F.col("weight_event_count") > 0).alias("colonies_with_weight_events"), F.min("days_observed").alias("lo"), F.max("days_observed").alias("hi"),
+    )
+    return out.select(*(c for c in out.columns if c not in ("lo", "hi")), _q("lo").alias("min_colony_days_observed"), _q("hi").alias("max_colony_days_observed"))
+
+
 def percentiles(spark, d):
     r, cfg = _readings(spark, d), _cfg()
     q = ft.channel_report(ft.normal_movement(r, written(steps.detect(r, cfg), "events"), cfg), cfg)[0]
@@ -352,8 +368,8 @@ def precision_recall(spark, d):
 
 _NAMES = """readings_projection rolling_window_filter json_attribute_decode side_split impossible_bounds external_anomalies adjacent_jump_flags
 step_candidates step_classify step_clusters step_cluster_net step_confirmed step_corroborated event_descriptions window_replay_dedupe segment_ids short_segment_merge segment_slopes
-segmented_trend range_settle_semi quality_fold quality_summary weather_day_types weather_aggregates dominant_overview weather_date_filter daily_pct_change event_day_antijoin
-colony_first_last features_flat percentiles threshold_rank peer_stats badness_z metric_confidence colony_score status reporting_gaps silent_placeholders
+segmented_trend range_settle_semi quality_fold quality_summary weather_day_types weather_aggregates dominant_overview weather_sentences weather_date_filter daily_pct_change event_day_antijoin
+colony_first_last features_flat run_metadata percentiles threshold_rank peer_stats badness_z metric_confidence colony_score status reporting_gaps silent_placeholders
 region_summary top_drivers sister_metrics sister_verdict weight_variants kendall_tau dirichlet_variants haversine_pairs components nearest_region merged_regions
 greedy_match audited_ranges precision_recall""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from combline.functions.weather import RAINY_CODES
+from combline.functions.weather import CODES, RAINY_CODES
 from combline.operators.scoring import TRENDS
 
 
@@ -171,7 +171,7 @@ va AS (SELECT CAST(0 AS BIGINT) AS variant, metric, w FROM ms UNION ALL SELECT 1
     """rs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY variant, region_id ORDER BY score DESC, colony_id) AS rank FROM (SELECT variant, region_id, colony_id, floor(floor(least(100e0, sum(greatest(0e0, z) * va.w) / greatest(sum(va.w), 0.001e0) * 35) * 1e6 + 0.5e0) / 1e6 * 10 + 0.5e0) / 10 AS score
   FROM cp JOIN va USING (metric) GROUP BY ALL))""",
 ]
-LAB = """rc AS (SELECT c, id AS record, ts AS at, CASE WHEN id % 300 = 0 THEN 'non_event' ELSE 'event' END AS label FROM r WHERE id % 100 = 0),
+LAB = """rc AS (SELECT c, id AS record, ts AS t1, CASE WHEN id % 300 = 0 THEN 'non_event' ELSE 'event' END AS label FROM r WHERE id % 100 = 0),
 ar AS (SELECT hive, min(ts) AS a, min(ts) + 30 * 86400 AS z FROM r WHERE side = 'L' GROUP BY hive)"""
 REPLAY = f"""bounds AS (SELECT min(wall) AS a, max(wall) AS z FROM base),
 r AS (SELECT b.* REPLACE (b.c || '#' || k AS c, b.hive || '#' || k AS hive), k AS win FROM base b, bounds, range(0, 2000) t(k) WHERE b.wall BETWEEN a + k * 1296000 AND a + 2592000 + k * 1296000 AND a + 2592000 + k * 1296000 <= z + 1296000)"""
@@ -182,7 +182,24 @@ mv AS MATERIALIZED (SELECT 'weight_kg' AS channel, abs(w - pw) AS x, 3.63e0 AS l
 _MEMBERS = ", ".join(f"('{m}')" for m in ("wL", "tL", "hL", "wR", "tR", "hR", "tE", "hE"))
 JSON = f"""js AS (SELECT raw_id, m.member, TRY_CAST(json_extract_string(sensor_data, '$.' || m.member || '.N') AS DOUBLE) AS value FROM (SELECT * FROM sensor_raw WHERE json_valid(sensor_data)) CROSS JOIN (VALUES {_MEMBERS}) m(member))"""
 
+_EVENT = "STRUCT(t0 BIGINT, id BIGINT, kind VARCHAR, aud BOOLEAN)"
+GREEDY = f"""ed AS (SELECT ev.c, ev.ts, ev.id, ev.kind, ev.side = 'L' AND coalesce(ev.ts >= ar.a AND ev.ts < ar.z, false) AS aud FROM ev LEFT JOIN ar ON ar.hive = ev.hive),
+rn AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY label <> 'event', record) AS n FROM rc),
+g AS (SELECT c, CAST(0 AS BIGINT) AS n, CAST(coalesce(pool, []) AS {_EVENT}[]) AS pool, NULL::BIGINT AS record, NULL::BIGINT AS t1, NULL::VARCHAR AS label, NULL::{_EVENT} AS hit FROM (SELECT c FROM rc UNION SELECT c FROM ed) k
+    LEFT JOIN (SELECT c, list({{'t0': ts, 'id': id, 'kind': kind, 'aud': aud}} ORDER BY ts, id) AS pool FROM ed GROUP BY c) USING (c)
+  UNION ALL SELECT c, n, CASE WHEN best IS NULL THEN pool ELSE list_filter(pool, lambda x: x.id <> best.e.id) END, record, t1, label, best.e FROM
+  (SELECT g.c, rn.n, g.pool, rn.record, rn.t1, rn.label, list_sort(list_transform(list_filter(g.pool, lambda x: x.kind IN ('harvest', 'swarm') AND abs(x.t0 - rn.t1) <= 21600), lambda x: {{'d': abs(x.t0 - rn.t1), 'e': x}}))[1] AS best FROM g JOIN rn ON rn.c = g.c AND rn.n = g.n + 1)),
+om AS (SELECT c, record, hit.t0 AS detected, hit.kind AS kind, (hit.t0 - t1) / 3600e0 AS off, CASE WHEN label = 'event' THEN CASE WHEN hit IS NULL THEN 'false_negative' ELSE 'true_positive' END ELSE CASE WHEN hit IS NULL THEN 'true_negative' ELSE 'false_positive' END END AS outcome FROM g WHERE n > 0
+  UNION ALL SELECT c, NULL, x.t0, x.kind, NULL, CASE WHEN x.aud THEN 'false_positive' ELSE 'unaudited_detection' END FROM (SELECT c, unnest(pool) AS x FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC) = 1)))"""
+_CODE = "CASE weather_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in CODES.items()) + " ELSE 'weather code ' || weather_code END"
+_SENTENCE = f"""CASE WHEN temperature_f < 32 THEN 'Freezing' WHEN temperature_f < 50 THEN 'Cool' WHEN temperature_f < 70 THEN 'Mild' WHEN temperature_f < 85 THEN 'Warm' WHEN temperature_f IS NOT NULL THEN 'Hot' END || ' and '
+  || CASE WHEN humidity_pct < 40 THEN 'dry' WHEN humidity_pct < 65 THEN 'moderately humid' WHEN humidity_pct IS NOT NULL THEN 'humid' END || ' ' || CASE WHEN CAST(left(clock_time, 2) AS INT) < 12 THEN 'morning' WHEN CAST(left(clock_time, 2) AS INT) < 17 THEN 'afternoon' ELSE 'evening' END
+  || ' with ' || CASE WHEN cloudiness_pct < 20 THEN 'mostly clear' WHEN cloudiness_pct < 60 THEN 'partly cloudy' WHEN cloudiness_pct IS NOT NULL THEN 'mostly cloudy' END || ' skies and ' || {_CODE} || ' conditions.'"""
+
 SQL = {
+    "weather_sentences": _with([WX], f"SELECT obs_id, sentence FROM (SELECT obs_id, {_SENTENCE} AS sentence FROM wx WHERE clock_time IS NOT NULL) WHERE sentence IS NOT NULL"),
+    "run_metadata": _with(FEAT, f"SELECT count(*) AS colony_count, count(DISTINCT region_id) AS region_count, CAST(sum(sample_count) AS BIGINT) AS valid_sensor_reading_count, CAST(sum(excluded_reading_count) AS BIGINT) AS excluded_sensor_reading_count, CAST(sum(weight_event_count) AS BIGINT) AS weight_event_count, count(*) FILTER (weight_event_count > 0) AS colonies_with_weight_events, (SELECT {q('min(days_observed)')} FROM fla) AS min_colony_days_observed, (SELECT {q('max(days_observed)')} FROM fla) AS max_colony_days_observed FROM feat"),
+    "greedy_match": _with([*STEPS, LAB, GREEDY], f"SELECT c AS colony_id, record, detected, kind, {q('off')} AS offset_hours, outcome FROM om"),
     "readings_projection": _with([R], "SELECT c AS colony_id, id AS reading_id, ts AS ts_epoch, wall, w, t, h FROM r"),
     "rolling_window_filter": _with([R], "SELECT c AS colony_id, id AS reading_id FROM r WHERE wall >= (SELECT max(wall) FROM r) - 7 * 86400"),
     "json_attribute_decode": _with([JSON], "SELECT raw_id, member, value FROM js WHERE value IS NOT NULL"),

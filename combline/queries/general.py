@@ -9,7 +9,7 @@ from combline.operators.grid import FILLED, regular_grid
 from combline.operators.instants import normalise_instants, stamp_rows
 from combline.operators.outliers import implausible
 from combline.operators.rolling import trailing_totals
-from combline.operators.spatial import near_pairs
+from combline.operators.spatial import near_counts, near_pairs
 from combline.operators.standing import standing
 from combline.session import shared_dir
 
@@ -67,6 +67,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("hive_id_a"), F.col("id_b").alias("hive_id_b"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_counts(_table(spark, d, "hive_sites"), "hive_id", "latitude", "longitude", 1.0)
+
+
 _STANDING = """standing AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hive_id, colony_side, ts_epoch ORDER BY reading_id) AS nth FROM sensor_readings
                  WHERE hive_id IS NOT NULL AND colony_side IS NOT NULL AND ts_epoch IS NOT NULL AND reading_id IS NOT NULL) WHERE nth = 1)"""
@@ -93,6 +97,10 @@ SELECT a.hive_id AS hive_id_a, b.hive_id AS hive_id_b FROM sites a JOIN sites b
   AND 2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2)
         + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) <= 1.0"""
 
+_P6_CLASSES = f"""WITH pairs AS ({_P6}), ends AS (SELECT hive_id_a AS a FROM pairs UNION ALL SELECT hive_id_b FROM pairs),
+sites AS (SELECT DISTINCT hive_id AS site, latitude AS y, longitude AS x FROM hive_sites WHERE hive_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)
+SELECT site, min(site) OVER (PARTITION BY x, y) AS class_id, (SELECT count(*) FROM ends WHERE a = site) AS links FROM sites"""
+
 # levels: medians of up to five readings within six hours before and after a stretch of one to three readings
 _P5 = f"""WITH {_STANDING},
 long AS (SELECT hive_id, colony_side, ts_epoch AS t, reading_id AS id, unnest(['weight_kg', 'internal_temp_f', 'internal_humidity_pct']) AS field_name,
@@ -151,5 +159,5 @@ found AS (SELECT * FROM numbers
   UNION ALL SELECT raw_table, row_id, CAST(epoch(w) AS BIGINT) - (CASE zone WHEN 'edt' THEN -4 WHEN 'cdt' THEN -5 WHEN 'mdt' THEN -6 ELSE -7 END) * 3600 FROM walls WHERE w IS NOT NULL AND zone LIKE '_dt')
 SELECT raw_table, row_id, epoch_s FROM found WHERE epoch_s >= 946684800 AND epoch_s < 2082758400"""
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
-SQL = {"p1_found": _P1, "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found}
+SQL = {"p1_found": _P1, "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p6_classes": _P6_CLASSES, "p7_found": _P7}

@@ -6,7 +6,7 @@ import pytest
 from combline.functions.geo import haversine_miles_np
 from combline.operators import outliers
 from combline.operators.outliers import implausible, spike_starts
-from combline.operators.spatial import near_pairs, split_leaves
+from combline.operators.spatial import near_counts, near_pairs, split_leaves
 
 FIELDS = {"w": (0.0, 100.0), "t": (0.0, 50.0)}
 
@@ -79,7 +79,9 @@ def test_pairs_against_brute_force(spark, sample):
     for miles in (1.0, 30.0):
         got = [(r.id_a, r.id_b) for r in near_pairs(df, "site", "y", "x", miles, leaf_rows=20, tile_rows=50, sample_rows=sample).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(sites, miles)
-    assert near_pairs(df.limit(0), "site", "y", "x", 1.0).collect() == []
+        links = {r.site: (r.class_id, r.links) for r in near_counts(df, "site", "y", "x", miles, leaf_rows=20, tile_rows=50, sample_rows=sample).collect()}
+        assert all(n == sum(s in p for p in brute(sites, miles)) for s, (_, n) in links.items()) and links["e3"][0] == "e1"
+    assert near_pairs(df.limit(0), "site", "y", "x", 1.0).collect() == near_counts(df.limit(0), "site", "y", "x", 1.0).collect() == []
 
 
 def test_leaves_split_down_to_the_least_size():

@@ -18,7 +18,7 @@ K1, B = 1.2, 0.75
 #: Items that one index holds; more are searched in several blocks of items.
 INDEX_ITEMS = 20_000
 #: At most so many blocks of items have maxima of their own; a hair under 1, so that rounding loses nothing.
-BLOCKS, SAFE = 64, 1 - 1e-6
+BLOCKS, SAFE = 128, 1 - 1e-6
 #: Most characters of item texts in one index, which goes with the tasks; and stretches looked at in one go.
 INDEX_CHARS, STRIPE = 32 << 20, 4_096
 _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
@@ -37,7 +37,7 @@ class ItemIndex:
     min_words words: whatever passage holds such a stretch scores 1 or more, so the search loses nothing.
     """
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int = 12, block: int = 8):
+    def __init__(self, items: list[tuple[int, str]], min_words: int = 12, block: int = 4):
         self.min_words = min_words
         # like items side by side make the block maxima tight
         texts = sorted(((i, w) for i, t in items if (w := words_of(t or "")) and len(w) >= min_words), key=lambda x: x[1])

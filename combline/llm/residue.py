@@ -108,12 +108,14 @@ def masked(message: str, by: Judge) -> tuple[str, bool, bool]:
 
 
 def segments(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id and message of each line or sentence; numbers are masked, outer marks of lists and quotes taken off."""
+    """doc_id and message of each line or sentence, empty ones included; numbers are masked, outer marks of lists and quotes taken off."""
     cut = r"[\r\n]+|(?<=[.!?;])[ \t ]+(?=[\p{Lu}\[{<«$#%@_*])"
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.explode(F.split(F.col(text), cut)).alias("s"))
-    s: Column = F.regexp_replace(F.translate("s", "­​‌‍⁠﻿ \t", "\u0000\u0000\u0000\u0000\u0000\u0000  "), r"\u0000+|^(?:[>\-•* ]|\[\d{1,2}:\d{2}\])+(?![|*])|(?<= ) +|\s+$", "")
-    s = F.when(s.rlike("[0-9]"), F.regexp_replace(s, r"(?<![\w{])(?=\w*\d)\w+(?:[.,:]\w*\d\w*)*(?![\w}])", NUMBER)).otherwise(s)
-    return rows.select("doc_id", F.trim(s).alias("message")).where("message <> ''")
+    # each step is a column of its own, and blank messages are left to the reader: a filter here would compute all of it twice
+    bare: Column = F.regexp_replace(F.translate("s", "­​‌‍⁠﻿ \t", "\u0000\u0000\u0000\u0000\u0000\u0000  "), r"\u0000+|^(?:[>\-•* ]|\[\d{1,2}:\d{2}\])+(?![|*])|(?<= ) +", "")
+    lines = rows.withColumn("bare", F.trim(bare))
+    number = F.regexp_replace("bare", r"(?<![\w{])(?=\w*\d)\w+(?:[.,:]\w*\d\w*)*(?![\w}])", NUMBER)
+    return lines.select("doc_id", F.when(F.col("bare").rlike("[0-9]"), number).otherwise(F.col("bare")).alias("message"))
 
 
 class PrefixTree:
@@ -250,7 +252,7 @@ def residue(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     form in the distinct messages; what may be a slot counts where the template has other values in its place.
     """
     sent = df.sparkSession.sparkContext.broadcast(judge())
-    parts = written(segments(df, doc_id, text), "segments")
+    parts = written(segments(df, doc_id, text), "segments").where("message <> ''")
     known = written(parts.groupBy("message").agg(F.count(F.lit(1)).alias("n")), "messages")
     mined = written(mine_templates(known), "templates")
     verdicts = spread(mined.select("template").distinct(), "template").mapInPandas(_judged(sent), "template string, notice double, hollow double, other double")

@@ -9,7 +9,7 @@ from combline.llm.leakage import leaked_items
 from combline.llm.nearest import match_nearest
 from combline.llm.packing import TOKENIZER, pack, packing_faults, token_counts
 from combline.llm.residue import residue
-from combline.llm.runs import collapse_runs, related, said, truly_different
+from combline.llm.runs import collapse_runs, related, truly_different, with_said
 from combline.operators.standing import standing
 from combline.session import written
 from combline.sources.readings import wall_seconds
@@ -47,7 +47,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _standing_weather(spark, d, ["overview"]).select("hive_id", "obs_id", _wall().alias("wall"), said(F.col("overview")).alias("says"))
+    rows = _standing_weather(spark, d, ["overview"]).select("hive_id", "obs_id", "overview", _wall().alias("wall"))
+    rows = with_said(rows, "overview").drop("overview")
     return collapse_runs(rows, "hive_id", "wall", "obs_id", "says", 48 * 3600, compare=related, settle=truly_different)
 
 

@@ -16,25 +16,29 @@ SHORTHAND = {"&": "and", "+": "and", "n": "and", "w": "with"}
 #: Parts of the day so long that a word one letter away is one of them, mistyped; a short one may be another word ("dry", "light").
 _LONG = [d for d in DAYPARTS if len(d) >= 7]
 #: One slip leaves the first three letters or the last three as they are.
-_LIKE_LONG = f"^(?:{'|'.join(sorted({d[:3] for d in _LONG}))})|(?:{'|'.join(sorted({d[-3:] for d in _LONG}))})$"
+_LIKE_LONG = rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted({d[:3] for d in _LONG}))})\p{{L}}{{3,7}}|\p{{L}}{{3,7}}(?:{'|'.join(sorted({d[-3:] for d in _LONG}))}))(?!\p{{L}})"
 SAME, DIFFERENT, CHECK = "same", "different", "check"
 
 
-def said(text: Column) -> Column:
-    """What a text says: its letters and digits in lower case without the part of the day, shorthand written out.
+def with_said(df: DataFrame, text: str, name: str = "says") -> DataFrame:
+    """df with what a text says: its letters and digits in lower case without the part of the day, shorthand written out.
 
     A mistyped part of the day is left out like a right one, and a ! at the end says that the text's one mistyped letter was
-    there. Null for null, and for texts without a letter or digit.
+    there. Null for null, and for texts without a letter or digit. Each step is a column of its own, so it is computed once.
     """
-    spaced = F.regexp_replace(F.lower(text), r"\bw/|[&+]", " $0 ")
-    words = F.filter(F.split(spaced, "[^\\p{L}\\p{N}&+]+"), lambda w: w != "")
-    short = F.create_map(*[F.lit(x) for kv in SHORTHAND.items() for x in kv])
+    alone = r"(?<![\p{L}\p{N}&+])%s(?![\p{L}\p{N}&+])"
+    low = df.withColumn("_low", F.lower(text))
+    long_w = F.regexp_replace("_low", rf"\bw/|{alone % 'w'}", " with ")
+    spelt = low.withColumn("_spelt", F.when(F.col("_low").rlike(rf"[&+]|\bw/|{alone % '[nw]'}"), F.regexp_replace(long_w, rf"[&+]|{alone % 'n'}", " and ")).otherwise(F.col("_low")))
+    bare = spelt.withColumn("_bare", F.regexp_replace("_spelt", rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(DAYPARTS)})(?![\p{{L}}\p{{N}}])", " "))
+    # few texts have a word that looks like a mistyped part of the day; only those are taken apart
     long = F.array(*map(F.lit, _LONG))
-    typo = lambda w: (F.length(w) >= 6) & w.rlike(_LIKE_LONG) & ~w.isin(DAYPARTS) & F.exists(long, lambda d: _one_off(w, d))
-    kept = F.filter(words, lambda w: ~w.isin(DAYPARTS))
-    plain = F.array_join(F.transform(F.filter(kept, lambda w: ~typo(w)), lambda w: F.coalesce(short[w], w)), "")
-    spent = F.when(F.exists(kept, typo), "!").otherwise("")
-    return F.when(F.size(words) > 0, F.concat(plain, spent))
+    words = F.split("_bare", r"[^\p{L}\p{N}]+")
+    typo = lambda w: (F.length(w) >= 6) & F.exists(long, lambda d: _one_off(w, d))
+    spent = F.when(F.exists(words, typo), "!").otherwise("")
+    apart = F.concat(F.array_join(F.filter(words, lambda w: ~typo(w)), ""), spent)
+    says = F.when(F.col("_bare").rlike(_LIKE_LONG), apart).otherwise(F.regexp_replace("_bare", r"[^\p{L}\p{N}]+", ""))
+    return bare.withColumn(name, F.when(F.col("_low").rlike(r"[\p{L}\p{N}]|[&+]"), says)).drop("_low", "_spelt", "_bare")
 
 
 def _one_off(a: Column, b: Column) -> Column:
@@ -44,7 +48,7 @@ def _one_off(a: Column, b: Column) -> Column:
 
 
 def related(a: Column, b: Column) -> Column:
-    """same, different, or check for two results of said.
+    """same, different, or check for two results of with_said.
 
     One letter apart is the same, unless both texts have spent theirs: figures are no letters, so the digits must agree. What
     is further apart may still be one right text with a mistyped letter in each; that takes a look at the texts there are.

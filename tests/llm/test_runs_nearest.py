@@ -3,13 +3,13 @@ import random
 from pyspark.sql import functions as F
 
 from combline.llm.nearest import match_nearest
-from combline.llm.runs import between, collapse_runs, one_letter, related, said, truly_different
+from combline.llm.runs import between, collapse_runs, one_letter, related, truly_different, with_said
 
 H = 3600
 
 
 def runs(spark, rows, gap=48 * H):
-    df = spark.createDataFrame(rows, "e string, t long, i long, x string").withColumn("says", said(F.col("x"))).selectExpr("*", "1 as n", "2 as first_id")
+    df = with_said(spark.createDataFrame(rows, "e string, t long, i long, x string"), "x").selectExpr("*", "1 as n", "2 as first_id")
     got = collapse_runs(df, "e", "t", "i", "says", gap, compare=related, settle=truly_different).collect()
     return sorted((r.e, r.first_id, r.last_id, r.n, r.duration_s) for r in got)
 
@@ -19,7 +19,7 @@ def texts(spark, *xs):
 
 
 def _rows(spark, xs):
-    df = spark.createDataFrame([("A", k * H, k, x) for k, x in enumerate(xs)], "e string, t long, i long, x string").withColumn("says", said(F.col("x")))
+    df = with_said(spark.createDataFrame([("A", k * H, k, x) for k, x in enumerate(xs)], "e string, t long, i long, x string"), "x")
     return collapse_runs(df, "e", "t", "i", "says", 48 * H, compare=related, settle=truly_different).collect()
 
 

@@ -88,8 +88,8 @@ def hampel(v: np.ndarray, before: np.ndarray, after: np.ndarray, times: float) -
 
 
 #: A value is a candidate if it lies more than so many scaled median absolute deviations from its window's median. Three
-#: readings off make up a part of a window of eleven, so its deviation stays that of the others; 1 keeps all that the exact
-#: test could accept on the data at hand, and the test with all values as candidates gives the same (tests).
+#: readings off make up a part of a window of eleven, so its deviation stays that of the others. 1 is low on purpose: at sf0.01
+#: and sf0.1 it keeps all that the exact test accepts (the SQL beside the query has no such sieve), and so do the tests.
 HAMPEL = 1.0
 
 

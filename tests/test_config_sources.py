@@ -71,3 +71,16 @@ def test_written_tables_can_be_released(spark):
     assert t.count() == 3 and exists(spark, shared_dir(spark))
     release(spark)
     assert not exists(spark, f"{shared_dir(spark)}/combline-{spark.sparkContext.applicationId}")
+
+
+@pytest.mark.parametrize(("master", "fine"), [("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[3,2,3000]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_a_cluster_needs_a_shared_folder(master, fine):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    if fine:
+        assert shared_dir(fake)
+    else:
+        with pytest.raises(RuntimeError):
+            shared_dir(fake)

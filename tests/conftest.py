@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from combline.session import local_session  # noqa: E402
+from combline.session import local_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     s = local_session(4, memory="4g", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()

@@ -1,8 +1,13 @@
+import sys
 from datetime import date, datetime
 
+from pyspark import cloudpickle
+
 from combline.sources import fetch
 from combline.sources.readings import hourly_rows, hourly_sources, read_sensor_cache, read_weather_cache
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers do not have this file
+
 
 class Pages:
     """Three items on two pages."""

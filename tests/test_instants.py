@@ -1,3 +1,5 @@
+import os
+import uuid
 from datetime import date
 from zoneinfo import ZoneInfo
 
@@ -32,7 +34,7 @@ def test_clock_times(text, want):
 def test_dictionary_parses_once(spark, monkeypatch):
     rows = [(1, "1696027426"), (2, " 1696027426 "), (3, "never 5"), (4, None), (5, "28.09.2023 17:07:11"), (None, "1696027426"), (2, " 1696027426 ")]
     table = lambda r: stamp_rows(spark.createDataFrame(r, "raw_id long, ts_raw string").selectExpr("*", "1 as day", "2 as n"), "raw_id", "ts_raw", "sensor")
-    path = f"{shared_dir(spark)}/dictionary-test"
+    path = f"{shared_dir(spark)}/dictionary-test-{uuid.uuid4().hex}"
     run = lambda r: sorted((x.row_id, x.epoch_s) for x in normalise_instants(table(r), path).collect())
     want = [(1, 1696027426), (2, 1696027426), (2, 1696027426), (5, 1695935231)]
     assert run(rows) == want
@@ -42,9 +44,7 @@ def test_dictionary_parses_once(spark, monkeypatch):
     assert run(rows) == want and len(kept.additions()) == 1
     # an addition that was not finished does not count
     (unfinished := spark.createDataFrame([("sensor", "", "1696027426", "America/New_York", 1)], instants._ENTRY)).write.parquet(f"{path}/added-dead")
-    import os
-
-    os.remove(f"{path}/added-dead/_SUCCESS")
+    os.remove(f"{path.removeprefix('file:')}/added-dead/_SUCCESS".replace("///", "/"))
     assert unfinished.count() == 1 and len(kept.additions()) == 1
     # only what is new is parsed
     assert run([*rows, (6, "1700000000")]) == [*want, (6, 1700000000)] and [spark.read.parquet(p).count() for p in kept.additions()].count(1) == 1

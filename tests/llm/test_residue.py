@@ -3,8 +3,8 @@ import pytest
 from combline.llm.messages import judge
 from combline.llm.residue import residue, segments, slots
 
-#: Wordings that the grammars of the classifier do not have.
-HELD_OUT = [
+#: Wordings looked at while the grammars were written; some are within their reach. Finding them says nothing about unseen ones.
+SEEN = [
     "Dear <<customer_name>>, thanks for the honey.", "Hello *|FNAME|*, welcome to the club.", "Harvest date: TBD", "Dear TODO_NAME, your order has left.",
     "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium.", "We're sorry, but this site doesn't work properly without JavaScript enabled.",
     "Segmentation fault (core dumped)", "Erreur interne du serveur", "La sesión expiró", "Weight: [WEIGHT_KG] kg", "Hi {first_name}!", "The total is #NAME? today.",
@@ -23,23 +23,80 @@ CONTENT = [
     "The label came back with lorem ipsum on it and I asked for a new one.", "See https://example.org/{id}/page for the map of the yard.",
 ]
 
+#: Wordings written after the grammars were done, and none of them among 300,000 texts drawn from these. Measured once, without
+#: any change after it: 24 of 32 were found, and 1 of 12 content texts was hit. Whoever changes the grammars with these in view needs new ones.
+FRESH = [
+    'Hello [[recipient.first]], your jars are ready.',
+    'Total due: #REF! dollars',
+    'Keeper: %%OWNER%%',
+    'The hive called ##HIVENAME## swarmed.',
+    'Dear [Insert name], thank you.',
+    'Nectar flow on {visit_day} was strong.',
+    'Humidity: NaN %',
+    'Queen age: [object Promise]',
+    'Contact: FIXME',
+    'Greetings ${user}, see you.',
+    'Quo usque tandem abutere Catilina patientia nostra quam diu etiam furor iste tuus nos eludet',
+    'Gallia est omnis divisa in partes tres quarum unam incolunt Belgae',
+    'hjkl hjkl yuio hjkl yuio',
+    'lalala lalala lalala lalala',
+    'blubb blubb blubb blubb',
+    'Replace me with a real summary',
+    'Content for this section is being prepared.',
+    'Text folgt in Kürze.',
+    'Agregue una descripción aquí',
+    'Ajoutez un titre',
+    'This account no longer has access to the portal.',
+    "Sorry, the document you are looking for isn't here.",
+    "We're having trouble reaching the server right now.",
+    'Your browser blocked the scripts this page relies on.',
+    'Connection reset by peer',
+    'Diese Webseite benötigt JavaScript.',
+    'Die Verbindung wurde zurückgesetzt.',
+    'Ocurrió un problema al cargar el contenido.',
+    'Impossible de se connecter au serveur.',
+    'java.sql.SQLException: Connection is closed',
+    'Proxy authentication is needed to open this address.',
+    'HTTP ERROR 418',
+]
+FRESH_CONTENT = [
+    'The server of honey samples at the fair was my aunt.',
+    'Our website now lists all hives, and the page for Elm Hill is done.',
+    'I lost the connection between the lid and the box.',
+    'Error bars on the weight curve are two kilos wide.',
+    'She signed in at the gate and looked at the bees.',
+    'The script of the play about bees was funny.',
+    'Wir haben die Seite des Kastens neu gestrichen.',
+    'El enlace entre las dos cajas está firme.',
+    'Le service de la reine est terminé, elle pond.',
+    'Access to the meadow is by the north road.',
+    'Test of the new scale: 30.1 kg, 30.2 kg, 30.1 kg.',
+    'In the sheet the tag {hive} is replaced by the macro.',
+]
+
 
 @pytest.fixture(scope="module")
 def found(spark):
-    rows = [(i, t) for i, t in enumerate(HELD_OUT + CONTENT)]
+    rows = [(i, t) for i, t in enumerate(SEEN + CONTENT)]
     return {r.doc_id for r in residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
 
 
-def test_held_out_wordings(found):
-    missed = [t for i, t in enumerate(HELD_OUT) if i not in found]
-    assert len(missed) <= len(HELD_OUT) // 10, missed
+def test_seen_wordings(found):
+    missed = [t for i, t in enumerate(SEEN) if i not in found]
+    assert len(missed) <= len(SEEN) // 10, missed
 
 
 def test_content_stays(found):
-    hit = [CONTENT[i - len(HELD_OUT)] for i in found if i >= len(HELD_OUT)]
+    hit = [CONTENT[i - len(SEEN)] for i in found if i >= len(SEEN)]
     assert len(hit) <= 1, hit
 
 
+def test_fresh_wordings(spark):
+    df = spark.createDataFrame(list(enumerate(FRESH + FRESH_CONTENT)), "doc_id long, text string")
+    got = {r.doc_id for r in residue(df, "doc_id", "text").collect()}
+    assert sum(i < len(FRESH) for i in got) >= 24 and sum(i >= len(FRESH) for i in got) <= 1
+
+
 def test_slots_by_form():
     def inner(t):
         return [t[a:b] for a, b in slots(t)]
@@ -69,7 +126,7 @@ def test_what_may_be_a_slot_needs_values_in_its_place(spark):
     assert {r.doc_id for r in residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {3}
 
 
-def test_classifier_on_draws_it_has_not_seen():
+def test_classifier_on_other_draws_of_its_grammars():
     from combline.llm.phrases import examples
 
     by = judge()

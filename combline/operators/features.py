@@ -10,6 +10,7 @@ from combline.functions.weather import RAINY_CODES
 from combline.operators import steps
 from combline.operators.quality import settling
 from combline.operators.quantiles import quantiles
+from combline.session import written
 
 
 def pct_change(start: Column, end: Column) -> Column:
@@ -82,15 +83,29 @@ def first_last(readings: DataFrame) -> DataFrame:
     g = readings.groupBy("colony_id", "hive_id", "colony_side").agg(
         F.count(F.lit(1)).alias("sample_count"), F.min_by("wall", "seq").alias("start_wall"), F.max_by("wall", "seq").alias("end_wall"), F.max_by("w", "seq").alias("latest_weight_kg")
     )
-    return g.withColumn("days_observed", F.greatest((F.col("end_wall") - F.col("start_wall")) / 86400.0, F.lit(1 / 24)))
+    return g.withColumn("days_observed", _days_observed())
+
+
+def _days_observed() -> Column:
+    return F.greatest((F.col("end_wall") - F.col("start_wall")) / 86400.0, F.lit(1 / 24))
+
+
+def first_last_of_days(days: DataFrame) -> DataFrame:
+    """first_last of what steps.day_sums gives."""
+    g = days.groupBy("colony_id", "hive_id", "colony_side").agg(
+        F.sum("n").alias("sample_count"), F.min_by("wall0", "seq0").alias("start_wall"), F.max_by("wall1", "seq1").alias("end_wall"), F.max_by("w1", "seq1").alias("latest_weight_kg")
+    )
+    return g.withColumn("days_observed", _days_observed())
 
 
 def features(kept: DataFrame, events: DataFrame, weather: DataFrame, counts: DataFrame | None, cfg: Thresholds) -> DataFrame:
     """One wide row per colony with readings. Colonies without weather keep null averages and counts of 0."""
-    w = on_days(weather, kept)
-    merged = steps.merge_short(steps.segment_sums(steps.segmented(kept, events)), cfg)
-    out = first_last(kept).join(steps.trend(steps.segment_slopes(merged)), "colony_id", "left")
-    out = out.join(weather_windows(daily_changes(kept, events), day_types(w, cfg)), "colony_id", "left")
+    days = written(steps.day_sums(kept, events), "days")
+    w = on_days(weather, days)
+    merged = steps.merge_short(steps.segment_sums_of_days(days, events), cfg)
+    out = first_last_of_days(days).join(steps.trend(steps.segment_slopes(merged)), "colony_id", "left")
+    changes = days.where("quiet and n >= 2").select("colony_id", "hive_id", "day", "n", pct_change(F.col("w0"), F.col("w1")).alias("pct"))
+    out = out.join(weather_windows(changes, day_types(w, cfg)), "colony_id", "left")
     out = out.join(events.groupBy("colony_id").agg(F.count(F.lit(1)).alias("weight_event_count")), "colony_id", "left")
     if counts is not None:
         out = out.join(counts.select("colony_id", F.col("excluded").alias("excluded_reading_count"), F.col("issue_days").alias("data_quality_issue_days")), "colony_id", "left")

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combline.config import Thresholds
-from combline.operators.steps import HOUR, halo
+from combline.operators.steps import HOUR, halo, steps_from_previous
 from combline.session import written
 
-BLOCK_S = 8 * 86_400
+SLOT_H = 2
 
 
 def _outside(named: list[tuple[str, str, str, str]], cfg: Thresholds) -> Column:
@@ -56,26 +56,39 @@ def settling(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFra
     return out.withColumn("settling", F.coalesce(hit, F.lit(False))).drop("_b", "_es")
 
 
-def _calm(readings: DataFrame, cfg: Thresholds) -> DataFrame:
-    """readings with calm: no possible reading that could still be the anchor is a jump away, so this one is kept in any case.
+def prepared(readings: DataFrame, cfg: Thresholds) -> DataFrame:
+    """readings with what one pass in order tells of them; seq becomes a long that orders the readings of a colony as before.
 
-    The hours before are looked at as one row of least and greatest values each, so the window is a few rows long however
-    dense the readings are. It may see a little more than it must; then calm is false and the fold decides.
+    p_<col> are the measures of the reading before, if it steps from that one, else null. bad names impossible measures.
+    sure: possible, and no possible reading that could still be the anchor is a jump away, so this one is kept in any case;
+    a_<col> are those of the last sure reading of the block.
+
+    The hours before are looked at as frames of whole SLOT_H hours, so least and greatest values are found once a slot
+    however dense the readings are. A frame may hold a little more than it must; then sure is false and the fold decides.
     """
-    back = int(cfg["quality.jumps.max_jump_interval_hours"]) + 2
-    hour = F.floor(F.col("ts") / HOUR)
-    valid = readings.where(F.size(impossible_reasons(cfg)) == 0)
-    per_hour = valid.groupBy("colony_id", hour.alias("_h")).agg(*(f(c).alias(f"{n}{c}") for c in "wth" for n, f in (("lo_", F.min), ("hi_", F.max))))
-    block = BLOCK_S // HOUR
-    near = per_hour.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_h") / block), F.floor((F.col("_h") + back) / block))))
-    over = Window.partitionBy("colony_id", "_b").orderBy("_h").rangeBetween(-back, 0)
-    bands = near.withColumns({f"{n}{c}": f(f"{n}{c}").over(over) for c in "wth" for n, f in (("lo_", F.min), ("hi_", F.max))}).where(F.col("_b") == F.floor(F.col("_h") / block)).drop("_b")
     j = "quality.jumps."
-    still = F.lit(True)
-    for c, key in (("w", "max_weight_jump_kg"), ("t", "max_temp_jump_f"), ("h", "max_humidity_jump_pct")):
-        still = still & (F.col(f"hi_{c}") - F.col(c) <= cfg[j + key]) & (F.col(c) - F.col(f"lo_{c}") <= cfg[j + key])
-    out = readings.withColumn("_h", hour).join(bands, ["colony_id", "_h"], "left")
-    return out.withColumn("calm", F.coalesce(still, F.lit(False))).drop("_h", *(f"{n}{c}" for c in "wth" for n in ("lo_", "hi_")))
+    limits = {"w": cfg[j + "max_weight_jump_kg"], "t": cfg[j + "max_temp_jump_f"], "h": cfg[j + "max_humidity_jump_pct"]}
+    back = -(-(int(cfg[j + "max_jump_interval_hours"]) + 2) // SLOT_H)
+    near = halo(readings.drop("seq"), "ts", before_s=int(max((back + 1) * SLOT_H, cfg["events.max_event_interval_hours"] + 2) * HOUR))
+    near = near.withColumn("_h", F.floor(F.col("ts") / (SLOT_H * HOUR)))
+    by = Window.partitionBy("colony_id", "_block")
+    order, slots = by.orderBy("_h", "ts", "ord"), by.orderBy("_h").rangeBetween(-back, 0)
+    r = near.withColumns({"_n": F.row_number().over(order)} | {f"p_{c}": F.lag(c).over(order) for c in ("w", "wall", "t", "h")})
+    # after the rows are in order, so that none of it goes through the exchange
+    r = r.withColumn("bad", F.array_join(impossible_reasons(cfg), ", ")).withColumns({f"v_{c}": F.when(F.col("bad") == "", F.col(c)) for c in limits})
+    r = r.withColumns({f"{n}{c}": f(f"v_{c}").over(slots) for c in limits for n, f in (("lo_", F.min), ("hi_", F.max))})
+    calm = F.lit(True)
+    for c, most in limits.items():
+        calm = calm & (F.col(f"hi_{c}") - F.col(c) <= most) & (F.col(c) - F.col(f"lo_{c}") <= most)
+    r = r.withColumn("sure", (F.col("bad") == "") & F.coalesce(calm, F.lit(False))).drop(*(f"{n}{c}" for c in limits for n in ("lo_", "hi_", "v_")))
+    # what a halo row says of itself is not sure, as its own hours before are not all here
+    known = F.col("_core") & F.col("sure")
+    anchors = ("ord", "wall", "w", "t", "h")
+    r = r.withColumns({f"a_{c}": F.last(F.when(known, F.col(c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in anchors})
+    step = steps_from_previous(cfg)
+    r = r.where("_core").withColumns({f"p_{c}": F.when(step, F.col(f"p_{c}")) for c in ("w", "wall", "t", "h")} | {f"a_{c}": F.when(~F.col("sure"), F.col(f"a_{c}")) for c in anchors})
+    # a block's number and the place in it: fewer than 2^32 readings, as they are ordered in one task
+    return r.withColumn("seq", F.shiftleft(F.col("_block"), 32) + F.col("_n")).drop("_core", "_block", "_h", "_n")
 
 
 _FOLDED = "colony_id string, ord bigint, kept boolean, reasons string, note_kg double, note_n int"
@@ -104,8 +117,8 @@ def _fold(cfg: Thresholds):
             pending.clear()
 
         for b in batches:
-            cols = [b[c].tolist() for c in ("colony_id", "island", "ord", "wall", "w", "t", "h", "bad", "a_wall", "a_w", "a_t", "a_h")]
-            for c, k, o, wall, w, t, h, bad, aw, a1, a2, a3 in zip(*cols):
+            cols = [b[c].tolist() for c in ("colony_id", "island", "ord", "wall", "w", "t", "h", "bad", "settling", "a_wall", "a_w", "a_t", "a_h")]
+            for c, k, o, wall, w, t, h, bad, settles, aw, a1, a2, a3 in zip(*cols):
                 if (c, k) != island:
                     flush()
                     island, colony, anchor = (c, k), c, None if aw != aw or aw is None else (aw, a1, a2, a3)
@@ -114,7 +127,7 @@ def _fold(cfg: Thresholds):
                     flush()
                     out.append((c, o, False, bad, None, None))
                     continue
-                why = jumps(anchor, now) if anchor else ""
+                why = jumps(anchor, now) if anchor and not settles else ""
                 if not why:
                     flush()
                     out.append((c, o, True, None, None, None))
@@ -145,39 +158,43 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame
     to be one reading.
 
     What depends on earlier decisions is folded, but most readings do not: one that is no jump away from any reading of
-    the hours before, or that settles after an event, is kept whatever came before, and from there the state is known. Only
-    the stretches between such readings go through the fold, each on its own and as a stream, so a colony's length is
-    no matter.
+    the hours before is kept whatever came before, and from there the state is known. Only the stretches between such
+    readings go through the fold, each on its own and as a stream, so a colony's length is no matter. readings may be
+    prepared ones; the result's seq is theirs.
     """
-    r = _calm(settling(readings, events, cfg), cfg).withColumn("bad", F.array_join(impossible_reasons(cfg), ", "))
-    r = written(r.withColumn("sure", (F.col("bad") == "") & (F.col("calm") | F.col("settling"))).withColumn("_blk", F.floor(F.col("ts") / BLOCK_S)), "judged")
+    r = readings if "sure" in readings.columns else written(prepared(readings, cfg), "prepared")
+    block = F.shiftright("seq", 32).alias("_blk")
+    anchors = ("ord", "wall", "w", "t", "h")
     # the last sure reading before each suspect: within the block, else the last one of an earlier block
-    state = F.when(F.col("sure"), F.struct(F.col("seq").alias("island"), F.col("wall").alias("a_wall"), F.col("w").alias("a_w"), F.col("t").alias("a_t"), F.col("h").alias("a_h")))
-    inside = Window.partitionBy("colony_id", "_blk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    suspects = r.withColumn("_s", F.last(state, ignorenulls=True).over(inside)).where(~F.col("sure"))
-    ends = r.withColumn("_st", state).groupBy("colony_id", "_blk").agg(F.max("_st").alias("_e"))
+    at = F.when(F.col("sure"), F.col("seq"))
+    ends = r.groupBy("colony_id", block).agg(*(F.max_by(c, at).alias(f"e_{c}") for c in anchors))
     earlier = Window.partitionBy("colony_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.withColumn("_c", F.last("_e", ignorenulls=True).over(earlier)).drop("_e")
-    at = suspects.join(carry, ["colony_id", "_blk"]).withColumn("_s", F.coalesce("_s", "_c")).select("colony_id", "seq", "ord", "wall", "w", "t", "h", "bad", "_s.*")
-    at = at.withColumn("island", F.coalesce(F.col("island").cast("string"), F.lit("")))
-    ordered = at.repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq").drop("seq")
+    carry = ends.select("colony_id", "_blk", *(F.last(f"e_{c}", ignorenulls=True).over(earlier).alias(f"c_{c}") for c in anchors))
+    suspects = settling(r.where(~F.col("sure")), events, cfg)
+    first = suspects.withColumn("_blk", block).join(carry, ["colony_id", "_blk"], "left").drop("_blk")
+    inside = F.col("a_ord").isNotNull()
+    first = first.withColumns({"island": F.coalesce("a_ord", "c_ord")} | {f"a_{c}": F.when(inside, F.col(f"a_{c}")).otherwise(F.col(f"c_{c}")) for c in anchors[1:]})
+    first = first.withColumn("island", F.coalesce(F.col("island").cast("string"), F.lit("")))
+    cols = ["colony_id", "island", "seq", "ord", "wall", "w", "t", "h", "bad", "settling", *(f"a_{c}" for c in anchors[1:])]
+    ordered = first.select(*cols).repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq").drop("seq")
     folded = ordered.mapInPandas(_fold(cfg), _FOLDED)
     # only suspects are joined to what was decided on them
-    bare = r.drop("bad", "calm", "settling", "_blk")
+    bare = r.drop("bad", *(f"a_{c}" for c in anchors), *(f"p_{c}" for c in ("w", "wall", "t", "h")))
     none = {"kept": F.lit(True), "reasons": F.lit(None).cast("string"), "note_kg": F.lit(None).cast("double"), "note_n": F.lit(None).cast("int")}
-    decided = bare.where(~F.col("sure")).join(folded, ["colony_id", "ord"])
+    decided = written(bare.where(~F.col("sure")).join(folded, ["colony_id", "ord"]), "decided")
     return bare.where("sure").withColumns(none).unionByName(decided).drop("sure")
 
 
 def quality_flags(judged_readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """colony_id, ord, day, flag (excluded, missed event, external) and what: one row per flag raised."""
-    j = judged_readings
-    base = ["colony_id", "ord", "seq", "day"]
-    out = j.where(~F.col("kept")).select(*base, F.lit("excluded").alias("flag"), F.col("reasons").alias("what"))
-    missed = j.where(F.col("note_n").isNotNull()).select(*base, F.lit("missed event").alias("flag"), F.col("note_n").cast("string").alias("what"))
-    possible = F.size(impossible_reasons(cfg)) == 0
-    outside = j.where(possible).select(*base, F.lit("external").alias("flag"), F.explode(external_reasons(cfg)).alias("what"))
-    return out.unionByName(missed).unionByName(outside)
+    flag = lambda name, what: F.struct(F.lit(name).alias("flag"), what.alias("what"))
+    outside = F.when(F.size(impossible_reasons(cfg)) == 0, F.transform(external_reasons(cfg), lambda x: flag("external", x)))
+    raised = F.array_compact(F.array(F.when(~F.col("kept"), flag("excluded", F.col("reasons"))), F.when(F.col("note_n").isNotNull(), flag("missed event", F.col("note_n").cast("string")))))
+    every = F.concat(raised, F.coalesce(outside, F.array().cast("array<struct<flag:string,what:string>>")))
+    # most readings raise nothing: plain comparisons leave them out before any array is made
+    odd = lambda c, lo, hi: F.coalesce(~F.col(c).between(cfg[f"quality.bounds.{lo}"], cfg[f"quality.bounds.{hi}"]), F.lit(False))
+    some = ~F.col("kept") | F.col("note_n").isNotNull() | odd("et", "min_external_temp_f", "max_external_temp_f") | odd("eh", "min_humidity_pct", "max_humidity_pct")
+    return judged_readings.where(some).withColumn("_f", every).where(F.size("_f") > 0).select("colony_id", "ord", "seq", "day", F.inline("_f"))
 
 
 def quality_counts(flags: DataFrame) -> DataFrame:

@@ -22,21 +22,27 @@ def halo(df: DataFrame, t: str, before_s: int = 0, after_s: int = 0, block_s: in
 def with_previous(readings: DataFrame, hours: float, cols: tuple[str, ...] = ("w", "wall", "t", "h")) -> DataFrame:
     """readings with p_<col> of the reading before, where that lies at most hours (and an hour for a clock change) back."""
     near = halo(readings, "ts", before_s=int((hours + 2) * HOUR))
-    w = Window.partitionBy("colony_id", "_block").orderBy("seq")
+    w = Window.partitionBy("colony_id", "_block").orderBy("ts", "ord")
     return near.withColumns({f"p_{c}": F.lag(c).over(w) for c in cols}).where("_core").drop("_core", "_block")
 
 
+def steps_from_previous(cfg: Thresholds) -> Column:
+    """Whether a reading with p_w and p_wall gains or loses enough against the one before, within the longest time; null counts as no."""
+    elapsed, delta = (F.col("wall") - F.col("p_wall")) / 3600.0, F.col("w") - F.col("p_w")
+    near = (elapsed > 0) & (elapsed <= cfg["events.max_event_interval_hours"]) & (F.col("p_w") > 0) & (F.col("w") > 0)
+    drop = (delta < 0) & (F.abs(delta / F.col("p_w") * 100) >= cfg["events.harvest_floor_pct"]) & (F.abs(delta) >= cfg["events.harvest_floor_kg"])
+    return near & ((delta >= cfg["events.addition_floor_kg"]) | drop)
+
+
 def candidates(readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """Readings that step from the one before. Times are differences on the local clock; a pair with a weight of 0 or less
-    is no step, and neither are the readings around it compared."""
+    is no step, and neither are the readings around it compared. Readings that have p_<col> are taken as they are."""
     limit = cfg["events.max_event_interval_hours"]
-    r = with_previous(readings, limit).withColumns({"elapsed": (F.col("wall") - F.col("p_wall")) / 3600.0, "delta": F.col("w") - F.col("p_w")})
-    r = r.where((F.col("elapsed") > 0) & (F.col("elapsed") <= limit) & (F.col("p_w") > 0) & (F.col("w") > 0)).withColumn("pct", F.col("delta") / F.col("p_w") * 100)
-    gain = F.col("delta") >= cfg["events.addition_floor_kg"]
-    drop = (F.col("delta") < 0) & (F.abs("pct") >= cfg["events.harvest_floor_pct"]) & (F.abs("delta") >= cfg["events.harvest_floor_kg"])
+    r = (readings if "p_w" in readings.columns else with_previous(readings, limit)).withColumns({"elapsed": (F.col("wall") - F.col("p_wall")) / 3600.0, "delta": F.col("w") - F.col("p_w")})
+    r = r.where(steps_from_previous(cfg)).withColumn("pct", F.col("delta") / F.col("p_w") * 100)
     restless = (F.abs(F.col("t") - F.col("p_t")) >= cfg["events.swarm.temp_swing_f"]) | (F.abs(F.col("h") - F.col("p_h")) >= cfg["events.swarm.humidity_swing_pct"])
-    kind = F.when(gain, "addition").when(restless, "swarm").otherwise("harvest")
-    return r.where(gain | drop).select("colony_id", "hive_id", "colony_side", "seq", "ts", "wall", kind.alias("kind"), F.col("p_w").alias("before"), F.col("w").alias("after"), "delta", "pct", "elapsed")
+    kind = F.when(F.col("delta") >= cfg["events.addition_floor_kg"], "addition").when(restless, "swarm").otherwise("harvest")
+    return r.select("colony_id", "hive_id", "colony_side", "seq", "ts", "wall", kind.alias("kind"), F.col("p_w").alias("before"), F.col("w").alias("after"), "delta", "pct", "elapsed")
 
 
 def clustered(steps: DataFrame, cfg: Thresholds) -> DataFrame:
@@ -126,6 +132,32 @@ def segment_sums(seg: DataFrame) -> DataFrame:
     )
 
 
+def day_sums(readings: DataFrame, events: DataFrame) -> DataFrame:
+    """Per colony, day and part of a day between events: what adds up over segments, and whether the day is quiet (without
+    an event). One pass over the readings serves whatever is told of days, segments and colonies."""
+    of_day = events.groupBy("colony_id", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("wall") / 86_400).cast("int")).alias("day")).agg(F.collect_list("wall").alias("_at"))
+    x = F.col("wall") / 86_400.0 - 19_000.0
+    part = F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda e: e <= F.col("wall"))))
+    r = readings.select("colony_id", "hive_id", "colony_side", "day", "seq", "wall", "w").join(of_day.hint("shuffle_hash"), ["colony_id", "day"], "left")
+    return r.groupBy("colony_id", "hive_id", "colony_side", "day", part.alias("part"), F.col("_at").isNull().alias("quiet")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq0"), F.max("seq").alias("seq1"), F.min_by("w", "seq").alias("w0"), F.max_by("w", "seq").alias("w1"),
+        F.min_by("wall", "seq").alias("wall0"), F.max_by("wall", "seq").alias("wall1"), F.sum(x).alias("sx"), F.sum("w").alias("sw"), F.sum(x * x).alias("sxx"), F.sum(x * F.col("w")).alias("sxw"),
+    )
+
+
+def segment_sums_of_days(days: DataFrame, events: DataFrame) -> DataFrame:
+    """segment_sums of what day_sums gives for the same events: a part's segment is the number of events of the days before and of its own."""
+    number = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date"))
+    marks = events.groupBy("colony_id", F.floor(F.col("wall") / 86_400).cast("int").alias("_d")).agg(F.count(F.lit(1)).alias("_e"))
+    both = days.withColumns({"_d": number(F.col("day")), "_e": F.lit(0).cast("bigint")}).unionByName(marks, allowMissingColumns=True)
+    before = F.sum("_e").over(Window.partitionBy("colony_id").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1))
+    seg = both.withColumn("segment", (F.coalesce(before, F.lit(0)) + F.col("part")).cast("int")).where(F.col("n").isNotNull())
+    return seg.groupBy("colony_id", "segment").agg(
+        F.sum("n").alias("n"), F.min_by("w0", "seq0").alias("w0"), F.max_by("w1", "seq1").alias("w1"), F.min_by("wall0", "seq0").alias("wall0"), F.max_by("wall1", "seq1").alias("wall1"),
+        F.min("seq0").alias("seq0"), F.max("seq1").alias("seq1"), *(F.sum(c).alias(c) for c in ("sx", "sw", "sxx", "sxw")),
+    )
+
+
 def merge_short(sums: DataFrame, cfg: Thresholds) -> DataFrame:
     """Segments after the first that are shorter than the least length are added to the one before."""
     w = Window.partitionBy("colony_id").orderBy("segment")

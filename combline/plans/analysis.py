@@ -25,13 +25,18 @@ class Analysis:
     #: all readings, by which silence is measured, if readings are those of a window
     history: DataFrame | None = None
 
+    @cached_property
+    def ordered(self) -> DataFrame:
+        """The readings, put in order once: what each says against those before it, and a seq that is a long."""
+        return written(quality.prepared(self.readings, self.cfg), "prepared")
+
     @cached_property
     def events(self) -> DataFrame:
-        return written(steps.detect(self.readings, self.cfg), "events")
+        return written(steps.detect(self.ordered, self.cfg), "events")
 
     @cached_property
     def judged(self) -> DataFrame:
-        return written(quality.judged(self.readings, self.events, self.cfg), "kept")
+        return quality.judged(self.ordered, self.events, self.cfg)
 
     @cached_property
     def flags(self) -> DataFrame:

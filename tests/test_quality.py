@@ -3,7 +3,8 @@ import random
 from helpers import frame, readings
 
 from combline.config import Thresholds
-from combline.operators import quality, steps
+from combline.operators import features, quality, steps
+from combline.session import written
 
 CFG = Thresholds(env={})
 
@@ -103,3 +104,43 @@ def test_flags_by_day(spark):
     flags = quality.quality_flags(quality.judged(r, steps.detect(r, CFG), CFG), CFG)
     row = quality.quality_counts(flags).first()
     assert (row.excluded, row.issues, row.issue_days) == (1, 61, 3)
+
+
+def _hard(spark):
+    rng, rows = random.Random(7), []
+    for hive, side, n in (("H1", "L", 900), ("H1", "R", 700), ("H2", "L", 300)):
+        w, weights, hours = 40.0, [], []
+        for i in range(n):
+            w += rng.choice([0, 0, 0, 0, 0, 0.2, -0.2, 4.5, -4.0]) if rng.random() < 0.2 else 0
+            weights.append(200.0 if rng.random() < 0.02 else w + (9 if rng.random() < 0.03 else 0))
+            hours.append((hours[-1] if hours else 0) + rng.choice([0, 1, 1, 1, 2, 2, 7 if rng.random() < 0.2 else 1]))
+        rows.append(readings(weights, hive=hive, side=side, hours=hours, et=70.0 if side == "L" else 140.0))
+    return frame(spark, *rows)
+
+
+def test_readings_in_order_once_say_the_same(spark):
+    r = _hard(spark)
+    p = written(quality.prepared(r, CFG), "prepared")
+    assert dict(p.dtypes)["seq"] == "bigint"
+    by = lambda d: [tuple(x) for x in d.orderBy("colony_id", "seq").select("colony_id", "ord").collect()]
+    assert by(p) == by(r)
+    plans = steps.candidates(p, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plans and "Sort" not in plans
+    key = lambda e: sorted((x.colony_id, x.ts, x.kind, round(x.delta, 9), x.corroborated) for x in e.collect())
+    events = written(steps.detect(p, CFG), "events")
+    assert key(events) == key(steps.detect(r, CFG)) and events.count() > 5
+    say = lambda d: sorted((x.colony_id, x.ord, x.kept, x.reasons, x.note_n) for x in d.collect())
+    assert say(quality.judged(p, events, CFG)) == say(quality.judged(r, events, CFG))
+
+
+def test_segments_and_days_from_one_pass(spark):
+    r = _hard(spark)
+    p = written(quality.prepared(r, CFG), "prepared")
+    events = written(steps.detect(p, CFG), "events")
+    days = steps.day_sums(p, events)
+    row = lambda d: sorted((x.colony_id, x.segment, x.n, x.w0, x.w1, x.wall0, x.wall1, round(x.sx, 6), round(x.sxw, 4)) for x in d.collect())
+    assert row(steps.segment_sums_of_days(days, events)) == row(steps.segment_sums(steps.segmented(p, events)))
+    ends = lambda d: sorted((x.colony_id, x.sample_count, x.start_wall, x.end_wall, x.latest_weight_kg) for x in d.collect())
+    assert ends(features.first_last_of_days(days)) == ends(features.first_last(p))
+    quiet = sorted((x.colony_id, str(x.day), x.n, x.w0, x.w1) for x in days.where("quiet and n >= 2").collect())
+    assert [q[:3] for q in quiet] == sorted((x.colony_id, str(x.day), x.n) for x in features.daily_changes(p, events).collect())

@@ -10,24 +10,51 @@ from combline.functions.geo import EARTH_RADIUS_MILES, haversine_miles, haversin
 from combline.session import written
 
 
-def components(nodes: DataFrame, pairs: DataFrame, node: str, max_rounds: int = 64) -> DataFrame:
+def _least_of(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each end of links with the least end that it hangs together with."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in list(up)]
+
+
+def components(nodes: DataFrame, pairs: DataFrame, node: str, max_rounds: int = 64, few: int = 20_000) -> DataFrame:
     """node, component: the smallest node that can be reached over pairs (id_a, id_b). Repeated pairs and loops do no harm.
 
-    Labels fall to the least one among the neighbours and then jump to that one's own label, so the rounds grow with the
-    logarithm of a component's width. Each round is written; the links never leave the executors.
+    Each round draws a number for every node that still has links, and each of them goes to the least one of itself and
+    its neighbours; what has gone to one place is one node of the next round, and links within it are gone. The draw is
+    another one each round, so no order of names or positions keeps a part of the nodes from shrinking, and the rounds
+    grow with the logarithm of the nodes, not with a component's width. Each round is written. Once at most `few` links are
+    left, whatever their number was, they are joined up on the driver; more never leave the executors.
     """
-    both = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b"))).where("a <> b").distinct()
-    links = written(both, "links")
-    label = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("a"), F.col(node).alias("c")).distinct()
-    for _ in range(max_rounds):
-        seen = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        low = label.join(seen, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
-        jump = low.join(label.select(F.col("a").alias("n"), F.col("c").alias("j")), "n", "left").select("a", F.least("n", F.coalesce("j", "n")).alias("c"), (F.least("n", F.coalesce("j", "n")) != F.col("c")).alias("moved"))
-        step = written(jump, "components")
-        label = step.select("a", "c")
-        if step.where("moved").isEmpty():
-            return label.select(F.col("a").alias(node), F.col("c").alias("component"))
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    named = written(nodes.where(F.col(node).isNotNull()).select(node).distinct().withColumn("_i", F.monotonically_increasing_id()), "nodes")
+    end = lambda c: named.select(F.col(node).alias(f"id_{c}"), F.col("_i").alias(c))
+    links = written(pairs.select("id_a", "id_b").where("id_a <> id_b").join(end("a"), "id_a").join(end("b"), "id_b").select("a", "b"), "links")
+    label = named.select("_i", F.col("_i").alias("c"))
+    for k in range(max_rounds):
+        if (left := links.count()) <= few:
+            if left:
+                to = nodes.sparkSession.createDataFrame(_least_of([tuple(r) for r in links.collect()]), "c bigint, to bigint")
+                label = label.join(to, "c", "left").select("_i", F.coalesce("to", "c").alias("c"))
+            break
+        drawn = lambda c: F.xxhash64(F.col(c), F.lit(k))  # noqa: B023, E731
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min_by("b", drawn("b")).alias("m"))
+        to = written(near.select("a", F.when(drawn("m") < drawn("a"), F.col("m")).otherwise(F.col("a")).alias("to")), "contracted")
+        label = written(label.join(to.withColumnRenamed("a", "c"), "c", "left").select("_i", F.coalesce("to", "c").alias("c")), "labels")
+        ends = links.join(to.withColumnRenamed("to", "x"), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        links = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    member = named.join(label, "_i")
+    return member.join(member.groupBy("c").agg(F.min(node).alias("component")), "c").select(node, "component")
 
 
 def nearest_region(sites: DataFrame, labelled: DataFrame, least: int, start_miles: float = 20.0, radius: float = EARTH_RADIUS_MILES) -> DataFrame:

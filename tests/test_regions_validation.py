@@ -35,6 +35,15 @@ def test_a_long_chain_is_one_component(spark):
     assert {r.component for r in c.collect()} == {"S000"}
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_rounds_do_not_grow_with_the_width(spark, few):
+    # names fall towards the least one, so that labels handed from neighbour to neighbour would need a round for each link
+    chain = [("S000", "S099"), *((f"S{i:03d}", f"S{i - 1:03d}") for i in range(99, 1, -1)), ("T1", "T2"), ("T2", "T1"), ("T1", "T1")]
+    nodes = spark.createDataFrame([(n,) for n in [*{x for p in chain for x in p}, "U", None]], "n string")
+    got = {r.n: r.component for r in regions.components(nodes, spark.createDataFrame(chain, "id_a string, id_b string"), "n", 24, few=few).collect()}
+    assert got == {f"S{i:03d}": "S000" for i in range(100)} | {"T1": "T1", "T2": "T1", "U": "U"}
+
+
 def test_nearest_region_across_the_globe(spark):
     s, c = labelled(spark, [("A", 0.0, 179.9), ("B", 0.0, -179.9), ("C", 80.0, 0.0)], 1.0)
     assert {r.component: r.nearest for r in regions.nearest_region(s, c, 2).collect()} == {"A": "B", "B": "A", "C": "A"}

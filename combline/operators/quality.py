@@ -20,8 +20,19 @@ def _outside(named: list[tuple[str, str, str, str]], cfg: Thresholds) -> Column:
     return F.array_compact(F.array(*(F.when(~F.col(c).between(cfg[f"quality.bounds.{lo}"], cfg[f"quality.bounds.{hi}"]), name) for name, c, lo, hi in named)))
 
 
+_INSIDE = [("weight", "w", "min_weight_kg", "max_weight_kg"), ("temperature", "t", "min_internal_temp_f", "max_internal_temp_f"), ("humidity", "h", "min_humidity_pct", "max_humidity_pct")]
+
+
 def impossible_reasons(cfg: Thresholds) -> Column:
-    return _outside([("weight", "w", "min_weight_kg", "max_weight_kg"), ("temperature", "t", "min_internal_temp_f", "max_internal_temp_f"), ("humidity", "h", "min_humidity_pct", "max_humidity_pct")], cfg)
+    return _outside(_INSIDE, cfg)
+
+
+def possible(cfg: Thresholds) -> Column:
+    """Whether impossible_reasons names none, by comparisons alone."""
+    ok = F.lit(True)
+    for _, c, lo, hi in _INSIDE:
+        ok = ok & F.coalesce(F.col(c).between(cfg[f"quality.bounds.{lo}"], cfg[f"quality.bounds.{hi}"]), F.lit(True))
+    return ok
 
 
 def external_reasons(cfg: Thresholds) -> Column:
@@ -75,20 +86,21 @@ def prepared(readings: DataFrame, cfg: Thresholds) -> DataFrame:
     order, slots = by.orderBy("_h", "ts", "ord"), by.orderBy("_h").rangeBetween(-back, 0)
     r = near.withColumns({"_n": F.row_number().over(order)} | {f"p_{c}": F.lag(c).over(order) for c in ("w", "wall", "t", "h")})
     # after the rows are in order, so that none of it goes through the exchange
-    r = r.withColumn("bad", F.array_join(impossible_reasons(cfg), ", ")).withColumns({f"v_{c}": F.when(F.col("bad") == "", F.col(c)) for c in limits})
+    r = r.withColumn("_ok", possible(cfg)).withColumns({f"v_{c}": F.when(F.col("_ok"), F.col(c)) for c in limits})
     r = r.withColumns({f"{n}{c}": f(f"v_{c}").over(slots) for c in limits for n, f in (("lo_", F.min), ("hi_", F.max))})
     calm = F.lit(True)
     for c, most in limits.items():
         calm = calm & (F.col(f"hi_{c}") - F.col(c) <= most) & (F.col(c) - F.col(f"lo_{c}") <= most)
-    r = r.withColumn("sure", (F.col("bad") == "") & F.coalesce(calm, F.lit(False))).drop(*(f"{n}{c}" for c in limits for n in ("lo_", "hi_", "v_")))
+    r = r.withColumn("sure", F.col("_ok") & F.coalesce(calm, F.lit(False))).drop(*(f"{n}{c}" for c in limits for n in ("lo_", "hi_", "v_")))
     # what a halo row says of itself is not sure, as its own hours before are not all here
     known = F.col("_core") & F.col("sure")
     anchors = ("ord", "wall", "w", "t", "h")
     r = r.withColumns({f"a_{c}": F.last(F.when(known, F.col(c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in anchors})
     step = steps_from_previous(cfg)
-    r = r.where("_core").withColumns({f"p_{c}": F.when(step, F.col(f"p_{c}")) for c in ("w", "wall", "t", "h")} | {f"a_{c}": F.when(~F.col("sure"), F.col(f"a_{c}")) for c in anchors})
+    bad = F.when(F.col("_ok"), "").otherwise(F.array_join(impossible_reasons(cfg), ", "))  # names are made for the few
+    r = r.where("_core").withColumns({"bad": bad} | {f"p_{c}": F.when(step, F.col(f"p_{c}")) for c in ("w", "wall", "t", "h")} | {f"a_{c}": F.when(~F.col("sure"), F.col(f"a_{c}")) for c in anchors})
     # a block's number and the place in it: fewer than 2^32 readings, as they are ordered in one task
-    return r.withColumn("seq", F.shiftleft(F.col("_block"), 32) + F.col("_n")).drop("_core", "_block", "_h", "_n")
+    return r.withColumn("seq", F.shiftleft(F.col("_block"), 32) + F.col("_n")).drop("_core", "_block", "_h", "_n", "_ok")
 
 
 _FOLDED = "colony_id string, ord bigint, kept boolean, reasons string, note_kg double, note_n int"
@@ -188,7 +200,7 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame
 def quality_flags(judged_readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """colony_id, ord, day, flag (excluded, missed event, external) and what: one row per flag raised."""
     flag = lambda name, what: F.struct(F.lit(name).alias("flag"), what.alias("what"))
-    outside = F.when(F.size(impossible_reasons(cfg)) == 0, F.transform(external_reasons(cfg), lambda x: flag("external", x)))
+    outside = F.when(possible(cfg), F.transform(external_reasons(cfg), lambda x: flag("external", x)))
     raised = F.array_compact(F.array(F.when(~F.col("kept"), flag("excluded", F.col("reasons"))), F.when(F.col("note_n").isNotNull(), flag("missed event", F.col("note_n").cast("string")))))
     every = F.concat(raised, F.coalesce(outside, F.array().cast("array<struct<flag:string,what:string>>")))
     # most readings raise nothing: plain comparisons leave them out before any array is made

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def components(nodes: DataFrame, pairs: DataFrame, node: str, max_rounds: int =
     for k in range(max_rounds):
         if (left := links.count()) <= few:
             if left:
-                to = nodes.sparkSession.createDataFrame(_least_of([tuple(r) for r in links.collect()]), "c bigint, to bigint")
+                c, to = zip(*_least_of([tuple(r) for r in links.collect()]))
+                to = nodes.sparkSession.createDataFrame(pa.table({"c": pa.array(c, pa.int64()), "to": pa.array(to, pa.int64())}))
                 label = label.join(to, "c", "left").select("_i", F.coalesce("to", "c").alias("c"))
             break
         drawn = lambda c: F.xxhash64(F.col(c), F.lit(k))  # noqa: B023, E731

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combline.config import Thresholds
-from combline.operators.steps import HOUR, halo, steps_from_previous
+from combline.operators.outliers import group_chunks, group_starts
+from combline.operators.steps import HOUR, halo
 from combline.session import written
 
 SLOT_H = 2
@@ -67,40 +70,121 @@ def settling(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFra
     return out.withColumn("settling", F.coalesce(hit, F.lit(False))).drop("_b", "_es")
 
 
+_ORDERED = """colony_id string, hive_id string, colony_side string, ord bigint, ts bigint, wall bigint, day date, w double, t double, h double, et double, eh double,
+seq bigint, since bigint, sure boolean, after boolean, head boolean, tail boolean, p_w double, p_wall bigint, p_t double, p_h double, a_ord bigint, a_wall bigint, a_w double, a_t double, a_h double"""
+
+
+def _in_order(cfg: Thresholds):
+    """Tells of each reading of a block, all of which lie together and in order, what prepared says of it."""
+    j = "quality.jumps."
+    kg, pct, temp, hum = (float(cfg[j + k]) for k in ("max_weight_jump_kg", "max_weight_jump_pct", "max_temp_jump_f", "max_humidity_jump_pct"))
+    pct *= 1 - 1e-9  # the share is rounded; rather one suspect more
+    back, slot_s = _slots_back(cfg), SLOT_H * HOUR
+    bounds = [(c, float(cfg[f"quality.bounds.{lo}"]), float(cfg[f"quality.bounds.{hi}"])) for _, c, lo, hi in _INSIDE]
+    e = "events."
+    limit, gain, floor_pct, floor_kg = (float(cfg[e + k]) for k in ("max_event_interval_hours", "addition_floor_kg", "harvest_floor_pct", "harvest_floor_kg"))
+    span = int(cfg[e + "confirmation_window_hours"] * HOUR)
+    up = lambda x: np.concatenate((x[:1], x[:-1]))
+
+    def reach(x, slot_of, starts, group, slot):
+        """Least and greatest of x, NaN left out, in the slot of each reading and the back ones before."""
+        out = []
+        for f in (np.fmin, np.fmax):
+            own = f.reduceat(x, starts)
+            wide = own.copy()
+            for k in range(1, min(back, len(own) - 1) + 1):
+                near = (group[k:] == group[:-k]) & (slot[k:] - slot[:-k] <= back)
+                wide[k:] = f(wide[k:], np.where(near, own[:-k], np.nan))
+            out.append(wide[slot_of])
+        return out
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in group_chunks(batches, ["colony_id", "_block"]):
+            col = {c: b.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("ord", "ts", "wall", "w", "t", "h", "_block", "_core")}
+            n, at, core, wall = b.num_rows, np.arange(b.num_rows), col["_core"], col["wall"]
+            starts = group_starts(b, ["colony_id", "_block"])
+            new = np.zeros(n, bool)
+            new[starts] = True
+            start = np.repeat(starts, np.diff(np.append(starts, n)))
+            group = np.cumsum(new)
+            with np.errstate(all="ignore"):
+                # steps; as in SQL, NaN is above all numbers
+                before = {c: up(col[c]) for c in ("w", "wall", "t", "h")}
+                w, pw = col["w"], before["w"]
+                elapsed, delta = (wall - before["wall"]) / 3600.0, w - pw
+                drop = (delta < 0) & (np.abs(delta / pw * 100) >= floor_pct) & (np.abs(delta) >= floor_kg)
+                step = ~new & (elapsed > 0) & (elapsed <= limit) & ~(pw <= 0) & ~(w <= 0) & (~(delta < gain) | drop)
+                # the latest clock of the steps so far and the earliest of those to come, group after group
+                clock = wall - wall.min() + 1
+                most = clock.max() + 1
+                lift = (group - 1) * most
+                latest = np.maximum.accumulate(np.where(step, clock, 0) + lift) - lift
+                soonest = np.minimum.accumulate((np.where(step, clock, most) + lift)[::-1])[::-1]
+                soonest = np.append(soonest[1:], lift[-1] + most) - lift
+                after = (latest > 0) & (clock - latest <= span)
+                seq = (col["_block"] << 32) + (at - start + 1)
+                mark = np.maximum.accumulate(np.where(step & core, at, -1))
+                since = np.where(mark >= start, seq[mark], col["_block"] << 32)
+                since = np.where((clock < latest) | (clock >= soonest), ~seq, since)  # where the clock ran back, on their own
+                # sure ones
+                ok = np.ones(n, bool)
+                for c, lo, hi in bounds:
+                    ok &= (col[c] >= lo) & (col[c] <= hi)
+                slot = col["ts"] // slot_s
+                fresh = new.copy()
+                fresh[1:] |= slot[1:] != slot[:-1]
+                first = np.flatnonzero(fresh)
+                slots = (np.cumsum(fresh) - 1, first, group[first], slot[first])
+                far = np.zeros(n, bool)
+                for c, most in (("w", kg), ("t", temp), ("h", hum)):
+                    x = np.where(ok, col[c], np.nan)
+                    lo, hi = reach(x, *slots)
+                    fall, rise = hi - x > most, x - lo > most
+                    if c == "w":  # the share, too, is largest against the least and the greatest weight
+                        fall &= (hi - x) / hi * 100 > pct
+                        rise &= (lo <= 0) | ((x - lo) / lo * 100 > pct)
+                    far |= fall | rise
+            sure = ok & ~far
+            known = core & sure  # what a halo row says of itself is not sure, as its own hours before are not all here
+            anchor = np.maximum.accumulate(np.where(known, at, -1))
+            none = sure | (anchor < start)
+            last = np.maximum.reduceat(np.where(known, at, -1), starts)
+            tail = np.zeros(n, bool)
+            tail[last[last >= 0]] = True
+            head = core & (new | ~up(core))
+            more = {"seq": seq, "since": since, "sure": sure, "after": after, "head": head, "tail": tail}
+            out = {c: b.column(c).combine_chunks() for c in ("colony_id", "hive_id", "colony_side", "ord", "ts", "wall", "day", "w", "t", "h", "et", "eh")} | {c: pa.array(v) for c, v in more.items()}
+            out |= {f"p_{c}": pa.array(before[c], mask=~step) for c in ("w", "wall", "t", "h")}
+            out |= {f"a_{c}": pa.array(col[c][anchor], mask=none) for c in ("ord", "wall", "w", "t", "h")}
+            rows = pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            yield rows if core.all() else rows.filter(pa.array(core))
+
+    return tell
+
+
+def _slots_back(cfg: Thresholds) -> int:
+    return -(-(int(cfg["quality.jumps.max_jump_interval_hours"]) + 2) // SLOT_H)
+
+
 def prepared(readings: DataFrame, cfg: Thresholds) -> DataFrame:
     """readings with what one pass in order tells of them; seq becomes a long that orders the readings of a colony as before.
 
-    p_<col> are the measures of the reading before, if it steps from that one, else null. bad names impossible measures.
+    p_<col> are the measures of the reading before, if it steps from that one, else null. after: at most the confirmation
+    time after a step. since: the same for readings with the same steps of the block before and after them, by order and by clock. bad names impossible measures.
     sure: possible, and no possible reading that could still be the anchor is a jump away, so this one is kept in any case;
-    a_<col> are those of the last sure reading of the block.
+    a_<col> are those of the last sure reading of the block. head and tail: the block's first reading and its last sure one.
 
     The hours before are looked at as frames of whole SLOT_H hours, so least and greatest values are found once a slot
     however dense the readings are. A frame may hold a little more than it must; then sure is false and the fold decides.
+    A block is held at once: 1.4 million readings at one a second.
     """
-    j = "quality.jumps."
-    limits = {"w": cfg[j + "max_weight_jump_kg"], "t": cfg[j + "max_temp_jump_f"], "h": cfg[j + "max_humidity_jump_pct"]}
-    back = -(-(int(cfg[j + "max_jump_interval_hours"]) + 2) // SLOT_H)
-    near = halo(readings.drop("seq"), "ts", before_s=int(max((back + 1) * SLOT_H, cfg["events.max_event_interval_hours"] + 2) * HOUR))
-    near = near.withColumn("_h", F.floor(F.col("ts") / (SLOT_H * HOUR)))
-    by = Window.partitionBy("colony_id", "_block")
-    order, slots = by.orderBy("_h", "ts", "ord"), by.orderBy("_h").rangeBetween(-back, 0)
-    r = near.withColumns({"_n": F.row_number().over(order)} | {f"p_{c}": F.lag(c).over(order) for c in ("w", "wall", "t", "h")})
-    # after the rows are in order, so that none of it goes through the exchange
-    r = r.withColumn("_ok", possible(cfg)).withColumns({f"v_{c}": F.when(F.col("_ok"), F.col(c)) for c in limits})
-    r = r.withColumns({f"{n}{c}": f(f"v_{c}").over(slots) for c in limits for n, f in (("lo_", F.min), ("hi_", F.max))})
-    calm = F.lit(True)
-    for c, most in limits.items():
-        calm = calm & (F.col(f"hi_{c}") - F.col(c) <= most) & (F.col(c) - F.col(f"lo_{c}") <= most)
-    r = r.withColumn("sure", F.col("_ok") & F.coalesce(calm, F.lit(False))).drop(*(f"{n}{c}" for c in limits for n in ("lo_", "hi_", "v_")))
-    # what a halo row says of itself is not sure, as its own hours before are not all here
-    known = F.col("_core") & F.col("sure")
-    anchors = ("ord", "wall", "w", "t", "h")
-    r = r.withColumns({f"a_{c}": F.last(F.when(known, F.col(c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in anchors})
-    step = steps_from_previous(cfg)
-    bad = F.when(F.col("_ok"), "").otherwise(F.array_join(impossible_reasons(cfg), ", "))  # names are made for the few
-    r = r.where("_core").withColumns({"bad": bad} | {f"p_{c}": F.when(step, F.col(f"p_{c}")) for c in ("w", "wall", "t", "h")} | {f"a_{c}": F.when(~F.col("sure"), F.col(f"a_{c}")) for c in anchors})
-    # a block's number and the place in it: fewer than 2^32 readings, as they are ordered in one task
-    return r.withColumn("seq", F.shiftleft(F.col("_block"), 32) + F.col("_n")).drop("_core", "_block", "_h", "_n", "_ok")
+    # a step in the halo that confirms must see the reading before it
+    back = max((_slots_back(cfg) + 1) * SLOT_H, cfg["events.confirmation_window_hours"] + 2 + cfg["events.max_event_interval_hours"] + 2)
+    near = halo(readings.drop("seq"), "ts", before_s=int(back * HOUR))
+    cols = ["colony_id", "hive_id", "colony_side", "ord", "ts", "wall", "day", *(F.col(c).cast("double").alias(c) for c in ("w", "t", "h", "et", "eh")), "_block", "_core"]
+    blocks = near.select(*cols).repartition("colony_id", "_block").sortWithinPartitions("colony_id", "_block", "ts", "ord")
+    bad = F.when(possible(cfg), "").otherwise(F.array_join(impossible_reasons(cfg), ", "))  # names are made for the few
+    return blocks.mapInArrow(_in_order(cfg), _ORDERED).withColumn("bad", bad)
 
 
 _FOLDED = "colony_id string, ord bigint, kept boolean, reasons string, note_kg double, note_n int"
@@ -161,7 +245,12 @@ def _fold(cfg: Thresholds):
     return fold
 
 
-def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame:
+def few(ordered: DataFrame) -> DataFrame:
+    """Of prepared readings those that steps, their confirmation and the fold look at."""
+    return ordered.where(~F.col("sure") | F.col("after") | F.col("head") | F.col("tail"))
+
+
+def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds, some: DataFrame | None = None) -> DataFrame:
     """readings with kept, reasons (why not, null if kept), and note_kg and note_n on the first reading of a run let back in.
 
     A reading is judged against the last one that was kept: impossible values never are; a jump is held back, and let in
@@ -172,17 +261,18 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame
     What depends on earlier decisions is folded, but most readings do not: one that is no jump away from any reading of
     the hours before is kept whatever came before, and from there the state is known. Only the stretches between such
     readings go through the fold, each on its own and as a stream, so a colony's length is no matter. readings may be
-    prepared ones; the result's seq is theirs.
+    prepared ones; the result's seq is theirs. some: few of them, if that has been written.
     """
     r = readings if "sure" in readings.columns else written(prepared(readings, cfg), "prepared")
+    some = few(r) if some is None else some
     block = F.shiftright("seq", 32).alias("_blk")
     anchors = ("ord", "wall", "w", "t", "h")
     # the last sure reading before each suspect: within the block, else the last one of an earlier block
-    at = F.when(F.col("sure"), F.col("seq"))
-    ends = r.groupBy("colony_id", block).agg(*(F.max_by(c, at).alias(f"e_{c}") for c in anchors))
+    at = F.when(F.col("tail"), F.col("seq"))
+    ends = some.where(F.col("head") | F.col("tail")).groupBy("colony_id", block).agg(*(F.max_by(c, at).alias(f"e_{c}") for c in anchors))
     earlier = Window.partitionBy("colony_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select("colony_id", "_blk", *(F.last(f"e_{c}", ignorenulls=True).over(earlier).alias(f"c_{c}") for c in anchors))
-    suspects = settling(r.where(~F.col("sure")), events, cfg)
+    suspects = settling(some.where(~F.col("sure")), events, cfg)
     first = suspects.withColumn("_blk", block).join(carry, ["colony_id", "_blk"], "left").drop("_blk")
     inside = F.col("a_ord").isNotNull()
     first = first.withColumns({"island": F.coalesce("a_ord", "c_ord")} | {f"a_{c}": F.when(inside, F.col(f"a_{c}")).otherwise(F.col(f"c_{c}")) for c in anchors[1:]})
@@ -191,10 +281,10 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame
     ordered = first.select(*cols).repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq").drop("seq")
     folded = ordered.mapInPandas(_fold(cfg), _FOLDED)
     # only suspects are joined to what was decided on them
-    bare = r.drop("bad", *(f"a_{c}" for c in anchors), *(f"p_{c}" for c in ("w", "wall", "t", "h")))
+    bare = lambda df: df.drop("bad", "after", "head", "tail", *(f"a_{c}" for c in anchors), *(f"p_{c}" for c in ("w", "wall", "t", "h")))
     none = {"kept": F.lit(True), "reasons": F.lit(None).cast("string"), "note_kg": F.lit(None).cast("double"), "note_n": F.lit(None).cast("int")}
-    decided = written(bare.where(~F.col("sure")).join(folded, ["colony_id", "ord"]), "decided")
-    return bare.where("sure").withColumns(none).unionByName(decided).drop("sure")
+    decided = written(bare(some.where(~F.col("sure"))).join(folded, ["colony_id", "ord"]), "decided")
+    return bare(r.where("sure")).withColumns(none).unionByName(decided).drop("sure")
 
 
 def quality_flags(judged_readings: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combline.config import Thresholds
+from combline.session import written
 
 HOUR = 3600
 BLOCK_S = 16 * 86_400
@@ -74,7 +75,8 @@ def confirmed(events: DataFrame, readings: DataFrame, cfg: Thresholds) -> DataFr
     span = int(cfg["events.confirmation_window_hours"] * HOUR)
     bucket = lambda c: F.floor(c / span)
     e = events.select("colony_id", F.col("seq").alias("e_seq"), F.col("wall").alias("e_wall")).withColumn("_b", F.explode(F.array(*(bucket(F.col("e_wall")) + k for k in (-1, 0, 1)))))
-    r = readings.where("w > 0").select("colony_id", "seq", "wall", "w", bucket(F.col("wall")).alias("_b"))
+    # prepared readings know whether a step lies near enough before them
+    r = readings.where("w > 0 and after" if "after" in readings.columns else "w > 0").select("colony_id", "seq", "wall", "w", bucket(F.col("wall")).alias("_b"))
     ahead = e.join(r, ["colony_id", "_b"]).where((F.col("seq") >= F.col("e_seq")) & (F.col("wall") - F.col("e_wall") <= span))
     level = ahead.groupBy("colony_id", F.col("e_seq").alias("seq")).agg(F.percentile("w", F.lit(0.5)).alias("level"))
     kept = F.col("level") - F.col("before")
@@ -86,7 +88,8 @@ def corroborated(events: DataFrame, readings: DataFrame, cfg: Thresholds) -> Dat
     """events with corroborated: the other colony of the site reports and has an event at most the given hours away."""
     span = int(cfg["events.corroboration_window_hours"] * HOUR)
     bucket = lambda c: F.floor(c / span)
-    both = readings.groupBy("hive_id").agg(F.count_distinct("colony_side").alias("sides")).where("sides = 2").select("hive_id")
+    some = readings.where("head") if "head" in readings.columns else readings
+    both = some.groupBy("hive_id").agg(F.count_distinct("colony_side").alias("sides")).where("sides = 2").select("hive_id")
     other = events.select("hive_id", F.col("colony_side").alias("o_side"), F.col("wall").alias("o_wall")).withColumn("_b", F.explode(F.array(*(bucket(F.col("o_wall")) + k for k in (-1, 0, 1)))))
     mine = events.select("hive_id", "colony_id", "colony_side", "seq", "wall", bucket(F.col("wall")).alias("_b")).join(both, "hive_id", "left_semi")
     hits = mine.join(other, ["hive_id", "_b"]).where((F.col("o_side") != F.col("colony_side")) & (F.abs(F.col("o_wall") - F.col("wall")) <= span))
@@ -132,17 +135,44 @@ def segment_sums(seg: DataFrame) -> DataFrame:
     )
 
 
-def day_sums(readings: DataFrame, events: DataFrame) -> DataFrame:
-    """Per colony, day and part of a day between events: what adds up over segments, and whether the day is quiet (without
-    an event). One pass over the readings serves whatever is told of days, segments and colonies."""
-    of_day = events.groupBy("colony_id", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("wall") / 86_400).cast("int")).alias("day")).agg(F.collect_list("wall").alias("_at"))
+def _sums() -> list[Column]:
     x = F.col("wall") / 86_400.0 - 19_000.0
-    part = F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda e: e <= F.col("wall"))))
-    r = readings.select("colony_id", "hive_id", "colony_side", "day", "seq", "wall", "w").join(of_day.hint("shuffle_hash"), ["colony_id", "day"], "left")
-    return r.groupBy("colony_id", "hive_id", "colony_side", "day", part.alias("part"), F.col("_at").isNull().alias("quiet")).agg(
+    return [
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq0"), F.max("seq").alias("seq1"), F.min_by("w", "seq").alias("w0"), F.max_by("w", "seq").alias("w1"),
         F.min_by("wall", "seq").alias("wall0"), F.max_by("wall", "seq").alias("wall1"), F.sum(x).alias("sx"), F.sum("w").alias("sw"), F.sum(x * x).alias("sxx"), F.sum(x * F.col("w")).alias("sxw"),
-    )
+    ]
+
+
+def _added() -> list[Column]:
+    """_sums of rows of such sums."""
+    return [
+        F.sum("n").alias("n"), F.min_by("w0", "seq0").alias("w0"), F.max_by("w1", "seq1").alias("w1"), F.min_by("wall0", "seq0").alias("wall0"), F.max_by("wall1", "seq1").alias("wall1"),
+        F.min("seq0").alias("seq0"), F.max("seq1").alias("seq1"), *(F.sum(c).alias(c) for c in ("sx", "sw", "sxx", "sxw")),
+    ]
+
+
+def day_sums(readings: DataFrame, events: DataFrame) -> DataFrame:
+    """Per colony, day and part of a day between events: what adds up over segments, and whether the day is quiet (without
+    an event). One pass over the readings serves whatever is told of days, segments and colonies.
+
+    Prepared readings are summed from step to step, where alone an event can be, before they meet the events, so only sums
+    are exchanged. Where the clock ran back over an event, such a sum is torn and its day is taken reading by reading."""
+    of_day = events.groupBy("colony_id", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("wall") / 86_400).cast("int")).alias("day")).agg(F.collect_list("wall").alias("_at"))
+    colony = ["colony_id", "hive_id", "colony_side", "day"]
+    part = lambda c: F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda e: e <= F.col(c))))
+    met = lambda df: df.join(of_day.hint("shuffle_hash"), ["colony_id", "day"], "left")
+    quiet = F.col("_at").isNull().alias("quiet")
+    if "since" not in readings.columns:
+        return met(readings.select(*colony, "seq", "wall", "w")).groupBy(*colony, part("wall").alias("part"), quiet).agg(*_sums())
+    sums = written(readings.groupBy(*colony, "since").agg(*_sums(), F.min("wall").alias("lo"), F.max("wall").alias("hi")), "sums")
+    both = met(sums)
+    torn = both.where(part("lo") != part("hi")).select("colony_id", "day").distinct()
+    if not torn.isEmpty():
+        torn = written(torn, "torn")
+        rows = readings.select(*colony, "seq", "wall", "w").join(torn, ["colony_id", "day"], "left_semi")
+        again = rows.groupBy(*colony, F.col("seq").alias("since"), "wall").agg(*_sums(), F.min("wall").alias("lo"), F.max("wall").alias("hi")).select(*sums.columns)
+        both = met(sums.join(torn, ["colony_id", "day"], "left_anti").select(*sums.columns).unionByName(again))
+    return both.groupBy(*colony, part("lo").alias("part"), quiet).agg(*_added())
 
 
 def segment_sums_of_days(days: DataFrame, events: DataFrame) -> DataFrame:
@@ -152,10 +182,7 @@ def segment_sums_of_days(days: DataFrame, events: DataFrame) -> DataFrame:
     both = days.withColumns({"_d": number(F.col("day")), "_e": F.lit(0).cast("bigint")}).unionByName(marks, allowMissingColumns=True)
     before = F.sum("_e").over(Window.partitionBy("colony_id").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1))
     seg = both.withColumn("segment", (F.coalesce(before, F.lit(0)) + F.col("part")).cast("int")).where(F.col("n").isNotNull())
-    return seg.groupBy("colony_id", "segment").agg(
-        F.sum("n").alias("n"), F.min_by("w0", "seq0").alias("w0"), F.max_by("w1", "seq1").alias("w1"), F.min_by("wall0", "seq0").alias("wall0"), F.max_by("wall1", "seq1").alias("wall1"),
-        F.min("seq0").alias("seq0"), F.max("seq1").alias("seq1"), *(F.sum(c).alias(c) for c in ("sx", "sw", "sxx", "sxw")),
-    )
+    return seg.groupBy("colony_id", "segment").agg(*_added())
 
 
 def merge_short(sums: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -30,13 +30,17 @@ class Analysis:
         """The readings, put in order once: what each says against those before it, and a seq that is a long."""
         return written(quality.prepared(self.readings, self.cfg), "prepared")
 
+    @cached_property
+    def few(self) -> DataFrame:
+        return written(quality.few(self.ordered), "few")
+
     @cached_property
     def events(self) -> DataFrame:
-        return written(steps.detect(self.ordered, self.cfg), "events")
+        return written(steps.detect(self.few, self.cfg), "events")
 
     @cached_property
     def judged(self) -> DataFrame:
-        return quality.judged(self.ordered, self.events, self.cfg)
+        return quality.judged(self.ordered, self.events, self.cfg, self.few)
 
     @cached_property
     def flags(self) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from helpers import frame, readings
+from pyspark.sql import functions as F
 
 from combline.config import Thresholds
 from combline.operators import features, quality, steps
@@ -144,3 +145,47 @@ def test_segments_and_days_from_one_pass(spark):
     assert ends(features.first_last_of_days(days)) == ends(features.first_last(p))
     quiet = sorted((x.colony_id, str(x.day), x.n, x.w0, x.w1) for x in days.where("quiet and n >= 2").collect())
     assert [q[:3] for q in quiet] == sorted((x.colony_id, str(x.day), x.n) for x in features.daily_changes(p, events).collect())
+
+
+def test_days_from_sums_where_the_clock_runs_back(spark):
+    """Weights step just before and just after the hour that comes twice; its readings are in the day's right part."""
+    rows, at = [], 0
+    for k in range(60):
+        for hive, back in (("H1", 19.5), ("H2", 20.5)):
+            w = 40.0 + (6 if k >= 20 else 0) + (7 if k >= 44 else 0)
+            for half in (0, 1):
+                hours = k + half / 2
+                wall = int(hours * 3600) - (3600 if hours >= back else 0)
+                rows.append((f"{hive}:L", hive, "L", at, 1_782_000_000 + int(hours * 3600), 1_781_913_600 + wall, w + hours / 100))
+                at += 1
+    r = spark.createDataFrame(rows, "colony_id string, hive_id string, colony_side string, ord long, ts long, wall long, w double")
+    r = r.selectExpr("*", "date_add(date'1970-01-01', cast(floor(wall / 86400) as int)) as day", "94D as t", "55D as h", "70D as et", "60D as eh", "cast(ts * 1000000 + ord as decimal(38,0)) as seq")
+    p = written(quality.prepared(r, CFG), "prepared")
+    events = written(steps.detect(p, CFG), "events")
+    assert events.count() == 4
+    row = lambda d: sorted((x.colony_id, str(x.day), x.part, x.quiet, x.n, x.w0, x.w1, x.wall0, x.wall1, round(x.sxw, 4)) for x in d.collect())
+    want = row(steps.day_sums(r, events))
+    assert row(steps.day_sums(p, events)) == want
+    assert row(steps.day_sums(p.withColumn("since", F.lit(0)), events)) == want  # torn sums are taken apart
+
+
+def test_steps_and_suspects_are_few(spark):
+    """Readings go through one exchange and a scan each for the few and for the sums; sums, not readings, meet the events."""
+    r = _hard(spark)
+    plan = quality.prepared(r, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and plan.count("Sort ") == 1
+    p = written(quality.prepared(r, CFG), "prepared")
+    few = quality.few(p)
+    key = lambda e: sorted((x.colony_id, x.ts, x.kind, round(x.delta, 9), x.corroborated) for x in e.collect())
+    assert key(steps.detect(few, CFG)) == key(steps.detect(r, CFG))
+    # a gain of 4 kg on 40 is no jump, so it makes no suspects
+    calm = quality.prepared(frame(spark, readings([40.0] * 10 + [44.0] * 20)), CFG)
+    assert calm.where("sure").count() == 30
+
+
+def test_not_a_number_is_above_all_numbers(spark):
+    r = frame(spark, readings([40.0] * 5 + [float("nan")] + [40.0] * 5, temps=[94.0] * 8 + [float("nan")] + [94.0] * 2))
+    p = written(quality.prepared(r, CFG), "prepared")
+    got = lambda d: sorted((x.ts, x.kind) for x in steps.candidates(d, CFG).collect())
+    assert got(p) == got(r) and got(p)
+    assert {x.ord: x.bad for x in p.where("bad <> ''").collect()} == {5: "weight", 8: "temperature"}

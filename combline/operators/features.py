@@ -10,7 +10,6 @@ from combline.functions.weather import RAINY_CODES
 from combline.operators import steps
 from combline.operators.quality import settling
 from combline.operators.quantiles import quantiles
-from combline.session import written
 
 
 def pct_change(start: Column, end: Column) -> Column:
@@ -98,9 +97,8 @@ def first_last_of_days(days: DataFrame) -> DataFrame:
     return g.withColumn("days_observed", _days_observed())
 
 
-def features(kept: DataFrame, events: DataFrame, weather: DataFrame, counts: DataFrame | None, cfg: Thresholds) -> DataFrame:
-    """One wide row per colony with readings. Colonies without weather keep null averages and counts of 0."""
-    days = written(steps.day_sums(kept, events), "days")
+def features(days: DataFrame, events: DataFrame, weather: DataFrame, counts: DataFrame | None, cfg: Thresholds) -> DataFrame:
+    """One wide row per colony with readings, from their day_sums. Colonies without weather keep null averages and counts of 0."""
     w = on_days(weather, days)
     merged = steps.merge_short(steps.segment_sums_of_days(days, events), cfg)
     out = first_last_of_days(days).join(steps.trend(steps.segment_slopes(merged)), "colony_id", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from combline.config import Thresholds
 from combline.operators.outliers import group_chunks, group_starts
-from combline.operators.steps import HOUR, halo
+from combline.operators.steps import HOUR, STEP_SUMS, halo
 from combline.session import written
 
 SLOT_H = 2
@@ -38,9 +38,12 @@ def possible(cfg: Thresholds) -> Column:
     return ok
 
 
+_OUTSIDE = [("external temperature", "et", "min_external_temp_f", "max_external_temp_f"), ("external humidity", "eh", "min_humidity_pct", "max_humidity_pct")]
+
+
 def external_reasons(cfg: Thresholds) -> Column:
     """What is wrong with the sensors outside; such readings are noted and kept."""
-    return _outside([("external temperature", "et", "min_external_temp_f", "max_external_temp_f"), ("external humidity", "eh", "min_humidity_pct", "max_humidity_pct")], cfg)
+    return _outside(_OUTSIDE, cfg)
 
 
 def jump_reasons(before: dict[str, Column], now: dict[str, Column], cfg: Thresholds) -> Column:
@@ -72,10 +75,14 @@ def settling(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFra
 
 _ORDERED = """colony_id string, hive_id string, colony_side string, ord bigint, ts bigint, wall bigint, day date, w double, t double, h double, et double, eh double,
 seq bigint, since bigint, sure boolean, after boolean, head boolean, tail boolean, p_w double, p_wall bigint, p_t double, p_h double, a_ord bigint, a_wall bigint, a_w double, a_t double, a_h double"""
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "date": pa.date32(), "double": pa.float64(), "boolean": pa.bool_()}
+#: Of a row of sums, seq, wall and w are those of its first reading.
+_SUMMED = "n bigint, seq1 bigint, wall1 bigint, w1 double, lo bigint, hi bigint, sx double, sw double, sxx double, sxw double"
+_DIGESTED = f"{_ORDERED.replace('hive_id string, colony_side string', '_hive int')}, {_SUMMED}"
 
 
-def _in_order(cfg: Thresholds):
-    """Tells of each reading of a block, all of which lie together and in order, what prepared says of it."""
+def _in_order(cfg: Thresholds, digest: bool = False):
+    """Tells of each reading of a block, all of which lie together and in order, what prepared says of it; or the few of these and sums, as digested has them."""
     j = "quality.jumps."
     kg, pct, temp, hum = (float(cfg[j + k]) for k in ("max_weight_jump_kg", "max_weight_jump_pct", "max_temp_jump_f", "max_humidity_jump_pct"))
     pct *= 1 - 1e-9  # the share is rounded; rather one suspect more
@@ -85,6 +92,27 @@ def _in_order(cfg: Thresholds):
     limit, gain, floor_pct, floor_kg = (float(cfg[e + k]) for k in ("max_event_interval_hours", "addition_floor_kg", "harvest_floor_pct", "harvest_floor_kg"))
     span = int(cfg[e + "confirmation_window_hours"] * HOUR)
     up = lambda x: np.concatenate((x[:1], x[:-1]))
+    outside = [(c, float(cfg[f"quality.bounds.{lo}"]), float(cfg[f"quality.bounds.{hi}"])) for _, c, lo, hi in _OUTSIDE]
+    given = ("colony_id", *(("_hive",) if digest else ("hive_id", "colony_side")), "ord", "ts", "wall", "day", "w", "t", "h", "et", "eh")
+
+    shape = pa.schema([(c, _ARROW[k]) for c, k in (x.split() for x in _DIGESTED.split(","))])
+
+    def summed(b: pa.Table, at: np.ndarray, group: np.ndarray, day: np.ndarray, seq: np.ndarray, since: np.ndarray, wall: np.ndarray, w: np.ndarray) -> dict[str, pa.Array]:
+        """Sums over the readings at, one row for each stretch of a day between steps."""
+        g, d, k, wall, w = group[at], day[at], since[at], wall[at], w[at]
+        cut = np.ones(len(at), bool)
+        cut[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(at)) - 1
+        x = wall / 86_400.0 - 19_000.0
+        add = lambda v: np.add.reduceat(v, first)
+        own = {"colony_id": b.column("colony_id").take(pa.array(at[first])), "_hive": b.column("_hive").take(pa.array(at[first])), "wall": wall[first], "day": b.column("day").take(pa.array(at[first])), "w": w[first], "seq": seq[at[first]], "since": k[first]}
+        own |= {"n": last - first + 1, "seq1": seq[at[last]], "wall1": wall[last], "w1": w[last], "lo": np.minimum.reduceat(wall, first), "hi": np.maximum.reduceat(wall, first), "sx": add(x), "sw": add(w), "sxx": add(x * x), "sxw": add(x * w)}
+        return {c: v if isinstance(v, pa.ChunkedArray | pa.Array) else pa.array(v) for c, v in own.items()}
+
+    def as_digest(own: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        flat = lambda v: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        return pa.RecordBatch.from_arrays([flat(own[f.name]).cast(f.type) if f.name in own else pa.nulls(n, f.type) for f in shape], schema=shape)
 
     def reach(x, slot_of, starts, group, slot):
         """Least and greatest of x, NaN left out, in the slot of each reading and the back ones before."""
@@ -153,11 +181,24 @@ def _in_order(cfg: Thresholds):
             tail[last[last >= 0]] = True
             head = core & (new | ~up(core))
             more = {"seq": seq, "since": since, "sure": sure, "after": after, "head": head, "tail": tail}
-            out = {c: b.column(c).combine_chunks() for c in ("colony_id", "hive_id", "colony_side", "ord", "ts", "wall", "day", "w", "t", "h", "et", "eh")} | {c: pa.array(v) for c, v in more.items()}
+            out = {c: b.column(c).combine_chunks() for c in given} | {c: pa.array(v) for c, v in more.items()}
             out |= {f"p_{c}": pa.array(before[c], mask=~step) for c in ("w", "wall", "t", "h")}
             out |= {f"a_{c}": pa.array(col[c][anchor], mask=none) for c in ("ord", "wall", "w", "t", "h")}
             rows = pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-            yield rows if core.all() else rows.filter(pa.array(core))
+            if not digest:
+                yield rows if core.all() else rows.filter(pa.array(core))
+                continue
+            odd = np.zeros(n, bool)
+            for c, lo, hi in outside:
+                v = b.column(c).combine_chunks()
+                x = v.to_numpy(zero_copy_only=False)
+                odd |= v.is_valid().to_numpy(zero_copy_only=False) & ~((x >= lo) & (x <= hi))
+            rows = rows.filter(pa.array(core & (~sure | after | head | tail | odd)))
+            yield as_digest({c: rows.column(c) for c in rows.schema.names}, rows.num_rows)
+            if len(at := np.flatnonzero(known)):
+                day = b.column("day").combine_chunks().cast(pa.int32()).to_numpy(zero_copy_only=False)
+                own = summed(b, at, group, day, seq, since, wall, w)
+                yield as_digest(own, len(own["n"]))
 
     return tell
 
@@ -178,13 +219,47 @@ def prepared(readings: DataFrame, cfg: Thresholds) -> DataFrame:
     however dense the readings are. A frame may hold a little more than it must; then sure is false and the fold decides.
     A block is held at once: 1.4 million readings at one a second.
     """
+    return _blocks(readings, ["hive_id", "colony_side"], cfg).mapInArrow(_in_order(cfg), _ORDERED).withColumn("bad", _bad(cfg))
+
+
+def _blocks(readings: DataFrame, more: list, cfg: Thresholds) -> DataFrame:
     # a step in the halo that confirms must see the reading before it
     back = max((_slots_back(cfg) + 1) * SLOT_H, cfg["events.confirmation_window_hours"] + 2 + cfg["events.max_event_interval_hours"] + 2)
     near = halo(readings.drop("seq"), "ts", before_s=int(back * HOUR))
-    cols = ["colony_id", "hive_id", "colony_side", "ord", "ts", "wall", "day", *(F.col(c).cast("double").alias(c) for c in ("w", "t", "h", "et", "eh")), "_block", "_core"]
-    blocks = near.select(*cols).repartition("colony_id", "_block").sortWithinPartitions("colony_id", "_block", "ts", "ord")
-    bad = F.when(possible(cfg), "").otherwise(F.array_join(impossible_reasons(cfg), ", "))  # names are made for the few
-    return blocks.mapInArrow(_in_order(cfg), _ORDERED).withColumn("bad", bad)
+    cols = ["colony_id", *more, "ord", "ts", "wall", "day", *(F.col(c).cast("double").alias(c) for c in ("w", "t", "h", "et", "eh")), "_block", "_core"]
+    return near.select(*cols).repartition("colony_id", "_block").sortWithinPartitions("colony_id", "_block", "ts", "ord")
+
+
+def _bad(cfg: Thresholds) -> Column:
+    return F.when(possible(cfg), "").otherwise(F.array_join(impossible_reasons(cfg), ", "))  # names are made for the few
+
+
+def digested(readings: DataFrame, cfg: Thresholds) -> DataFrame:
+    """What the stages up to the features need of prepared readings, from one pass that writes no more than that: rows of the
+    few (n is null) with all that prepared says, and sums over the sure readings of each stretch of a day between steps.
+
+    few_of and sums_of tell them apart. Every reading is in one of the two, the sure ones of the few in both. colony_id is hive_id:colony_side, as readings_of makes it."""
+    return _blocks(readings, [F.length("hive_id").alias("_hive")], cfg).mapInArrow(_in_order(cfg, digest=True), _DIGESTED)
+
+
+def _named(digest: DataFrame) -> dict[str, Column]:
+    return {"hive_id": F.substring("colony_id", F.lit(1), F.col("_hive")), "colony_side": F.substring("colony_id", F.col("_hive") + 2, F.length("colony_id"))}
+
+
+def few_of(digest: DataFrame, cfg: Thresholds) -> DataFrame:
+    """few of the readings, and those with odd values outside."""
+    return digest.where("n is null").withColumns(_named(digest) | {"bad": _bad(cfg)}).drop("_hive", *(c.split()[0] for c in _SUMMED.split(", ")))
+
+
+def sums_of(digest: DataFrame) -> DataFrame:
+    """steps.step_sums of the sure readings; a stretch may come in several rows."""
+    named = digest.where("n is not null").withColumns(_named(digest)).withColumnsRenamed({"seq": "seq0", "w": "w0", "wall": "wall0"})
+    return named.select(*STEP_SUMS)
+
+
+def last_seen(digest: DataFrame) -> DataFrame:
+    """colony_id and a wall, among which are the last ones of all readings."""
+    return digest.select("colony_id", F.coalesce("hi", "wall").alias("wall"))
 
 
 _FOLDED = "colony_id string, ord bigint, kept boolean, reasons string, note_kg double, note_n int"
@@ -264,9 +339,25 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds, some: DataFr
     prepared ones; the result's seq is theirs. some: few of them, if that has been written.
     """
     r = readings if "sure" in readings.columns else written(prepared(readings, cfg), "prepared")
-    some = few(r) if some is None else some
+    return undoubted(r).unionByName(decided(few(r) if some is None else some, events, cfg))
+
+
+_ANCHORS = ("ord", "wall", "w", "t", "h")
+
+
+def _bare(df: DataFrame) -> DataFrame:
+    return df.drop("sure", "bad", "after", "head", "tail", *(f"a_{c}" for c in _ANCHORS), *(f"p_{c}" for c in ("w", "wall", "t", "h")))
+
+
+def undoubted(readings: DataFrame) -> DataFrame:
+    """The sure ones of prepared readings in the shape of judged."""
+    return _bare(readings.where("sure")).withColumns({"kept": F.lit(True), "reasons": F.lit(None).cast("string"), "note_kg": F.lit(None).cast("double"), "note_n": F.lit(None).cast("int")})
+
+
+def decided(some: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame:
+    """The others, as the fold decides on them. some: the few of prepared readings."""
     block = F.shiftright("seq", 32).alias("_blk")
-    anchors = ("ord", "wall", "w", "t", "h")
+    anchors = _ANCHORS
     # the last sure reading before each suspect: within the block, else the last one of an earlier block
     at = F.when(F.col("tail"), F.col("seq"))
     ends = some.where(F.col("head") | F.col("tail")).groupBy("colony_id", block).agg(*(F.max_by(c, at).alias(f"e_{c}") for c in anchors))
@@ -281,10 +372,7 @@ def judged(readings: DataFrame, events: DataFrame, cfg: Thresholds, some: DataFr
     ordered = first.select(*cols).repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq").drop("seq")
     folded = ordered.mapInPandas(_fold(cfg), _FOLDED)
     # only suspects are joined to what was decided on them
-    bare = lambda df: df.drop("bad", "after", "head", "tail", *(f"a_{c}" for c in anchors), *(f"p_{c}" for c in ("w", "wall", "t", "h")))
-    none = {"kept": F.lit(True), "reasons": F.lit(None).cast("string"), "note_kg": F.lit(None).cast("double"), "note_n": F.lit(None).cast("int")}
-    decided = written(bare(some.where(~F.col("sure"))).join(folded, ["colony_id", "ord"]), "decided")
-    return bare(r.where("sure")).withColumns(none).unionByName(decided).drop("sure")
+    return written(_bare(some.where(~F.col("sure"))).join(folded, ["colony_id", "ord"]), "decided")
 
 
 def quality_flags(judged_readings: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -198,6 +198,40 @@ def _assigner(starts: np.ndarray, boxes: np.ndarray, miles: float, radius: float
     return assign
 
 
+def cell_of(lat: np.ndarray, lon: np.ndarray, miles: float, radius: float) -> np.ndarray:
+    """Numbers of cells so small that all positions of one are less than miles apart: bands of latitude, cut by longitude as wide as at the band's side to the equator."""
+    side = np.degrees(min(miles / radius, 1.0) * 0.9 / np.sqrt(2))  # a tenth is left for the bend of the arc and for rounding
+    if side <= 1e-7:
+        raise ValueError("miles is too small for cells")
+    band = np.floor((lat + 90.0) / side).astype(np.int64)
+    low, high = band * side - 90.0, (band + 1) * side - 90.0
+    widest = np.where((low <= 0) & (high >= 0), 1.0, np.cos(np.radians(np.minimum(np.abs(low), np.abs(high)))))
+    return (band << 32) + np.floor((lon + 180.0) / np.minimum(side / np.maximum(widest, 1e-12), 360.0)).astype(np.int64)
+
+
+def _tile_cells(miles: float, radius: float):
+    """The pairs of cells that have positions at most miles apart."""
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        probe, target = pdf[pdf["native"]], pdf[~pdf["native"]]
+        plat, plon = probe["lat"].to_numpy(), probe["lon"].to_numpy()
+        tlat, tlon = target["lat"].to_numpy(), target["lon"].to_numpy()
+        a, b = cell_of(plat, plon, miles, radius), cell_of(tlat, tlon, miles, radius)
+        found: list[np.ndarray] = []
+        if len(a) and len(b):
+            tree = RTree(*(target[c].to_numpy() for c in ("x0", "x1", "y0", "y1")))
+            for i, j in tree.probe(plon, plat):
+                apart = a[i] < b[j]
+                i, j = i[apart], j[apart]
+                near = haversine_miles_np(plat[i], plon[i], tlat[j], tlon[j], radius) <= miles
+                if near.any():
+                    found.append(np.unique(np.column_stack((a[i[near]], b[j[near]])), axis=0))
+        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"rep_a": both[:, 0], "rep_b": both[:, 1]}).drop_duplicates()
+
+    return tile
+
+
 def _tile_pairs(miles: float, radius: float):
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         probe, target = pdf[pdf["native"]], pdf[~pdf["native"]]
@@ -218,7 +252,7 @@ def _tile_pairs(miles: float, radius: float):
 
 
 def near_classes(
-    df: DataFrame, id_col: str, lat: str, lon: str, miles: float, radius: float = EARTH_RADIUS_MILES, leaf_rows: int = 2_000, tile_rows: int = 8_000, sample_rows: int = SAMPLE
+    df: DataFrame, id_col: str, lat: str, lon: str, miles: float, radius: float = EARTH_RADIUS_MILES, leaf_rows: int = 2_000, tile_rows: int = 8_000, sample_rows: int = SAMPLE, cells: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Members (_site, rep, n) and links (rep_a, rep_b): ids that share a position are a class named by its smallest id, with n
     members; links are between classes at most miles apart on the great circle, each once, rep_a < rep_b in byte order.
@@ -232,6 +266,9 @@ def near_classes(
     id, so nothing is found twice. Leaves are counted exactly, and crowded ones are cut in four again and again, down to a
     few times the reach; there are at most some hundred thousand leaves, as leaf_rows rises with the data beyond that. A leaf
     that still has more than tile_rows rows is cut into tiles of probes and targets, so no task holds a crowded leaf.
+
+    With cells, a class is all positions of a cell of cell_of instead, rep is its number and members have no n: the same
+    components hang together, but links grow with the cells that are taken, not with the pairs of a crowd.
     """
     ok = F.col("_lat").between(-90.0, 90.0) & F.col("_lon").between(-180.0, 180.0)
     sites = df.select(F.col(id_col).cast("string").alias("_site"), (F.col(lat).cast("double") + 0.0).alias("_lat"), (F.col(lon).cast("double") + 0.0).alias("_lon"))
@@ -265,10 +302,16 @@ def near_classes(
         tiled.withColumn("tile", tile)
         .select("leaf", "tile", "native", "rep", "lat", "lon", "x0", "x1", "y0", "y1")
         .groupBy("leaf", "tile")
-        .applyInPandas(_tile_pairs(miles, radius), "rep_a string, rep_b string")
+        .applyInPandas(*((_tile_cells(miles, radius), "rep_a bigint, rep_b bigint") if cells else (_tile_pairs(miles, radius), "rep_a string, rep_b string")))
     )
     pairs = written(pairs.distinct(), "pairs")  # a target and its copy a turn away may meet a probe in two tiles
+    if cells:
+
+        def member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"_site": b["_site"], "rep": cell_of(b["_lat"].to_numpy(), b["_lon"].to_numpy(), miles, radius)})
 
+        return sites.mapInPandas(member, "_site string, rep bigint").distinct(), pairs
     members = sites.join(points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "rep", "n"), ["_lat", "_lon"]).select("_site", "rep", "n")
     return members, pairs
 

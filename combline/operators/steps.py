@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,28 +153,51 @@ def _added() -> list[Column]:
     ]
 
 
+#: Columns of sums over readings with the same steps before and after them.
+STEP_SUMS = ["colony_id", "hive_id", "colony_side", "day", "since", "n", "seq0", "seq1", "w0", "w1", "wall0", "wall1", "sx", "sw", "sxx", "sxw", "lo", "hi"]
+_COLONY_DAY = ["colony_id", "hive_id", "colony_side", "day"]
+
+
+def step_sums(readings: DataFrame) -> DataFrame:
+    """Prepared readings summed from step to step within each day."""
+    return readings.groupBy(*_COLONY_DAY, "since").agg(*_sums(), F.min("wall").alias("lo"), F.max("wall").alias("hi")).select(*STEP_SUMS)
+
+
+def _part(c: str) -> Column:
+    return F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda e: e <= F.col(c))))
+
+
+def _met(df: DataFrame, events: DataFrame) -> DataFrame:
+    """df with quiet and _at, the times of the events of its colony and day."""
+    of_day = events.groupBy("colony_id", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("wall") / 86_400).cast("int")).alias("day")).agg(F.collect_list("wall").alias("_at"))
+    return df.join(of_day.hint("shuffle_hash"), ["colony_id", "day"], "left").withColumn("quiet", F.col("_at").isNull())
+
+
+def _day_rows(readings: DataFrame, events: DataFrame) -> DataFrame:
+    return _met(readings.select(*_COLONY_DAY, "seq", "wall", "w"), events).groupBy(*_COLONY_DAY, _part("wall").alias("part"), "quiet").agg(*_sums())
+
+
 def day_sums(readings: DataFrame, events: DataFrame) -> DataFrame:
     """Per colony, day and part of a day between events: what adds up over segments, and whether the day is quiet (without
     an event). One pass over the readings serves whatever is told of days, segments and colonies.
 
-    Prepared readings are summed from step to step, where alone an event can be, before they meet the events, so only sums
-    are exchanged. Where the clock ran back over an event, such a sum is torn and its day is taken reading by reading."""
-    of_day = events.groupBy("colony_id", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("wall") / 86_400).cast("int")).alias("day")).agg(F.collect_list("wall").alias("_at"))
-    colony = ["colony_id", "hive_id", "colony_side", "day"]
-    part = lambda c: F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda e: e <= F.col(c))))
-    met = lambda df: df.join(of_day.hint("shuffle_hash"), ["colony_id", "day"], "left")
-    quiet = F.col("_at").isNull().alias("quiet")
+    Prepared readings are summed from step to step first, as days_of_sums has it."""
     if "since" not in readings.columns:
-        return met(readings.select(*colony, "seq", "wall", "w")).groupBy(*colony, part("wall").alias("part"), quiet).agg(*_sums())
-    sums = written(readings.groupBy(*colony, "since").agg(*_sums(), F.min("wall").alias("lo"), F.max("wall").alias("hi")), "sums")
-    both = met(sums)
-    torn = both.where(part("lo") != part("hi")).select("colony_id", "day").distinct()
-    if not torn.isEmpty():
-        torn = written(torn, "torn")
-        rows = readings.select(*colony, "seq", "wall", "w").join(torn, ["colony_id", "day"], "left_semi")
-        again = rows.groupBy(*colony, F.col("seq").alias("since"), "wall").agg(*_sums(), F.min("wall").alias("lo"), F.max("wall").alias("hi")).select(*sums.columns)
-        both = met(sums.join(torn, ["colony_id", "day"], "left_anti").select(*sums.columns).unionByName(again))
-    return both.groupBy(*colony, part("lo").alias("part"), quiet).agg(*_added())
+        return _day_rows(readings, events)
+    return days_of_sums(step_sums(readings), events, lambda: readings)
+
+
+def days_of_sums(sums: DataFrame, events: DataFrame, readings: Callable[[], DataFrame]) -> DataFrame:
+    """day_sums of what step_sums tells, written. Events can only be at steps, so only sums are exchanged to meet them. Where
+    the clock ran back over an event, such a sum is torn and its day is taken from the readings, one by one."""
+    torn = F.bool_or(_part("lo") != _part("hi")).alias("torn")
+    days = written(_met(sums, events).groupBy(*_COLONY_DAY, _part("lo").alias("part"), "quiet").agg(*_added(), torn), "days")
+    again = days.where("torn").select("colony_id", "day").distinct()
+    if again.isEmpty():
+        return days.drop("torn")
+    again = written(again, "torn")
+    rows = _day_rows(readings().join(again, ["colony_id", "day"], "left_semi"), events)
+    return written(days.drop("torn").join(again, ["colony_id", "day"], "left_anti").unionByName(rows), "days")
 
 
 def segment_sums_of_days(days: DataFrame, events: DataFrame) -> DataFrame:

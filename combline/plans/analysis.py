@@ -30,9 +30,14 @@ class Analysis:
         """The readings, put in order once: what each says against those before it, and a seq that is a long."""
         return written(quality.prepared(self.readings, self.cfg), "prepared")
 
+    @cached_property
+    def digest(self) -> DataFrame:
+        """What the stages up to the features need of that, without the readings themselves."""
+        return written(quality.digested(self.readings, self.cfg), "digest")
+
     @cached_property
     def few(self) -> DataFrame:
-        return written(quality.few(self.ordered), "few")
+        return written(quality.few(self.ordered), "few") if "ordered" in vars(self) else quality.few_of(self.digest, self.cfg)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -40,24 +45,35 @@ class Analysis:
 
     @cached_property
     def judged(self) -> DataFrame:
-        return quality.judged(self.ordered, self.events, self.cfg, self.few)
+        return quality.undoubted(self.ordered).unionByName(self.decided)
+
+    @cached_property
+    def decided(self) -> DataFrame:
+        return quality.decided(self.few, self.events, self.cfg)
 
     @cached_property
     def flags(self) -> DataFrame:
-        return quality.quality_flags(self.judged, self.cfg)
+        some = quality.few_of(self.digest, self.cfg)  # flags are raised by these only
+        return quality.quality_flags(quality.undoubted(some).unionByName(self.decided), self.cfg)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        late = written(steps.step_sums(self.decided.where("kept")), "sums")
+        return steps.days_of_sums(quality.sums_of(self.digest).unionByName(late), self.events, lambda: self.judged.where("kept"))
 
     @cached_property
     def regions(self) -> DataFrame:
-        """hive_id and region_id of each site with a position: the components within the radius, named by their smallest site. Sites at one position are one node."""
-        members, links = near_classes(self.sites, "hive_id", "latitude", "longitude", float(self.cfg["regions.region_radius_miles"]), self.cfg["regions.earth_radius_miles"])
+        """hive_id and region_id of each site with a position: the components within the radius, named by their smallest site. Sites of a cell within the radius are one node."""
+        members, links = near_classes(self.sites, "hive_id", "latitude", "longitude", float(self.cfg["regions.region_radius_miles"]), self.cfg["regions.earth_radius_miles"], cells=True)
         found = regions.components(members.select("rep"), links.withColumnsRenamed({"rep_a": "id_a", "rep_b": "id_b"}), "rep")
-        return written(members.join(found, "rep").groupBy(F.col("_site").alias("hive_id")).agg(F.min("component").alias("region_id")), "regions")
+        placed = written(members.join(found, "rep").select("_site", "component"), "placed")
+        named = placed.groupBy("component").agg(F.min("_site").alias("name"))
+        return written(placed.join(named, "component").groupBy(F.col("_site").alias("hive_id")).agg(F.min("name").alias("region_id")), "regions")
 
     @cached_property
     def features(self) -> DataFrame:
         """Wide rows per colony. A colony of a site without a region is in one of its own."""
-        kept = self.judged.where("kept")
-        wide = features.features(kept, self.events, self.weather, quality.quality_counts(self.flags), self.cfg)
+        wide = features.features(self.days, self.events, self.weather, quality.quality_counts(self.flags), self.cfg)
         return written(wide.join(self.regions, "hive_id", "left").withColumn("region_id", F.coalesce("region_id", "hive_id")), "features")
 
     @cached_property
@@ -71,14 +87,17 @@ class Analysis:
     @cached_property
     def gaps(self) -> DataFrame:
         """Silent colonies of all sites, both sides."""
+        return self._silent(self.readings if self.history is None else self.history)
+
+    def _silent(self, readings: DataFrame) -> DataFrame:
         sides = self.sites.where(F.col("hive_id").isNotNull()).select("hive_id").distinct().join(self.regions, "hive_id", "left")
         colonies = sides.withColumn("region_id", F.coalesce("region_id", "hive_id")).withColumn("colony_side", F.explode(F.array(F.lit("L"), F.lit("R"))))
-        return scoring.reporting_gaps(self.readings if self.history is None else self.history, colonies, self.cfg)
+        return scoring.reporting_gaps(readings, colonies, self.cfg)
 
     @cached_property
     def standing(self) -> DataFrame:
         """Scores with silent colonies marked and added."""
-        return scoring.with_gaps(self.scores, self.gaps)
+        return scoring.with_gaps(self.scores, self._silent(quality.last_seen(self.digest)) if self.history is None else self.gaps)
 
     @cached_property
     def sisters(self) -> DataFrame:

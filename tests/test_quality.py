@@ -189,3 +189,36 @@ def test_not_a_number_is_above_all_numbers(spark):
     got = lambda d: sorted((x.ts, x.kind) for x in steps.candidates(d, CFG).collect())
     assert got(p) == got(r) and got(p)
     assert {x.ord: x.bad for x in p.where("bad <> ''").collect()} == {5: "weight", 8: "temperature"}
+
+
+def test_digest_says_what_the_readings_say(spark):
+    """One pass writes the few and sums in place of the readings; the features of both are the same, and so are flags and last readings."""
+    from combline.plans.analysis import Analysis
+
+    r = _hard(spark)
+    p = written(quality.prepared(r, CFG), "prepared")
+    d = written(quality.digested(r, CFG), "digest")
+    some = quality.few_of(d, CFG)
+    assert some.count() < 0.9 * p.count()
+    say = lambda x: sorted(repr(row) for row in x.where("not sure or after or head or tail").select(*sorted(p.columns)).collect())
+    assert say(some) == say(p)
+    events = written(steps.detect(some, CFG), "events")
+    a = Analysis(r, spark.createDataFrame([], "hive_id string, observed_date date"), spark.createDataFrame([], "hive_id string, latitude double, longitude double"), CFG)
+    row = lambda x: sorted((y.colony_id, str(y.day), y.part, y.quiet, y.n, y.w0, y.w1, y.wall0, y.wall1, y.hive_id, y.colony_side, round(y.sx, 6), round(y.sxx, 4), round(y.sxw, 4)) for y in x.collect())
+    assert row(a.days) == row(steps.day_sums(quality.judged(r, events, CFG).where("kept"), events)) and "ordered" not in vars(a)
+    flags = lambda x: sorted((y.colony_id, y.ord, y.flag, y.what) for y in x.collect())
+    assert flags(a.flags) == flags(quality.quality_flags(quality.judged(r, events, CFG), CFG)) and a.flags.where("flag = 'external'").count() > 100
+    last = lambda x: {y.colony_id: y.wall for y in x.groupBy("colony_id").agg(F.max("wall").alias("wall")).collect()}
+    assert last(quality.last_seen(d)) == last(r)
+
+
+def test_digest_where_the_clock_runs_back(spark):
+    """A sum that is torn by an event is taken from the readings."""
+    r = _hard(spark)
+    d = written(quality.digested(r, CFG), "digest")
+    events = written(steps.detect(quality.few_of(d, CFG), CFG), "events")
+    p = written(quality.prepared(r, CFG), "prepared").where("sure")
+    sums = quality.sums_of(d).withColumn("since", F.lit(0).cast("bigint"))
+    merged = sums.groupBy("colony_id", "hive_id", "colony_side", "day", "since").agg(*steps._added(), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*steps.STEP_SUMS)
+    row = lambda x: sorted((y.colony_id, str(y.day), y.part, y.quiet, y.n, y.w0, y.w1, round(y.sxw, 4)) for y in x.collect())
+    assert row(steps.days_of_sums(merged, events, lambda: p)) == row(steps.day_sums(p, events))

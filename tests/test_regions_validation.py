@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import frame, readings
 
@@ -96,3 +97,27 @@ def test_quantiles_against_sorting(spark):
         want = a[lo] + (at - lo) * (a[min(lo + 1, len(a) - 1)] - a[lo])
         assert got["a", q] == pytest.approx(want) and got["b", q] == 0.0
     assert ("c", 0.5) not in got
+
+
+def test_cells_hang_together_like_sites(spark):
+    """A crowd makes links between cells, not pairs of sites; the components are those of all pairs, at poles and antimeridian, too."""
+    from pyspark.sql import functions as F
+
+    from combline.functions.geo import haversine_miles_np
+    from combline.operators.spatial import cell_of, near_classes
+
+    rng = np.random.default_rng(5)
+    lat = np.concatenate([rng.normal(40, 0.15, 200), rng.normal(-33, 2, 300), 90 - rng.random(40) * 0.4, rng.normal(10, 0.2, 60), [0.0, 0.05, -0.05]])
+    lon = np.concatenate([rng.normal(-80, 0.2, 200), rng.normal(20, 2, 300), rng.random(40) * 360 - 180, (rng.normal(0, 0.3, 60) + 360) % 360 - 180, [1.0, 1.0, 1.0]])
+    cell = cell_of(lat, lon, 10.0, 3958.7613)
+    for c in np.unique(cell):
+        k = np.flatnonzero(cell == c)
+        assert (haversine_miles_np(lat[k][:, None], lon[k][:, None], lat[k][None], lon[k][None], 3958.7613) <= 10).all()
+    s = spark.createDataFrame([(f"S{i:04d}", float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon))], "hive_id string, latitude double, longitude double")
+    members, links = near_classes(s, "hive_id", "latitude", "longitude", 10.0, 3958.7613, cells=True)
+    found = regions.components(members.select("rep"), links.withColumnsRenamed({"rep_a": "id_a", "rep_b": "id_b"}), "rep")
+    names = members.join(found, "rep").groupBy("component").agg(F.min("_site").alias("name"), F.collect_list("_site").alias("all"))
+    got = {x: r.name for r in names.collect() for x in r.all}
+    pairs = near_pairs(s, "hive_id", "latitude", "longitude", 10.0, 3958.7613)
+    assert got == {r.hive_id: r.component for r in regions.components(s, pairs, "hive_id").collect()}
+    assert links.count() * 4 < pairs.count()

@@ -97,22 +97,38 @@ def first_last_of_days(days: DataFrame) -> DataFrame:
     return g.withColumn("days_observed", _days_observed())
 
 
-def features(days: DataFrame, events: DataFrame, weather: DataFrame, counts: DataFrame | None, cfg: Thresholds) -> DataFrame:
-    """One wide row per colony with readings, from their day_sums. Colonies without weather keep null averages and counts of 0."""
-    w = on_days(weather, days)
+def movements(days: DataFrame, events: DataFrame, types: DataFrame, cfg: Thresholds) -> DataFrame:
+    """One row per colony with readings, from their day_sums and the day_types of the weather: what colonies are compared by.
+
+    Only types of days with a daily change count, so there is no need to leave others out before."""
     merged = steps.merge_short(steps.segment_sums_of_days(days, events), cfg)
     out = first_last_of_days(days).join(steps.trend(steps.segment_slopes(merged)), "colony_id", "left")
     changes = days.where("quiet and n >= 2").select("colony_id", "hive_id", "day", "n", pct_change(F.col("w0"), F.col("w1")).alias("pct"))
-    out = out.join(weather_windows(changes, day_types(w, cfg)), "colony_id", "left")
-    out = out.join(events.groupBy("colony_id").agg(F.count(F.lit(1)).alias("weight_event_count")), "colony_id", "left")
+    out = out.join(weather_windows(changes, types), "colony_id", "left")
+    return out.fillna(0, ["favorable_weather_window_count", "poor_weather_window_count"]).fillna(
+        0.0, ["favorable_weather_weight_slope_pct_per_day", "poor_weather_weight_loss_pct", "delta_kg", "weight_pct_change", "weight_slope_kg_per_day", "weight_slope_pct_per_day"]
+    )
+
+
+def with_counts(moved: DataFrame, events: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """moved with the numbers of events, excluded readings and days with a flag."""
+    out = moved.join(events.groupBy("colony_id").agg(F.count(F.lit(1)).alias("weight_event_count")), "colony_id", "left")
     if counts is not None:
         out = out.join(counts.select("colony_id", F.col("excluded").alias("excluded_reading_count"), F.col("issue_days").alias("data_quality_issue_days")), "colony_id", "left")
     else:
         out = out.withColumns({"excluded_reading_count": F.lit(0), "data_quality_issue_days": F.lit(0)})
-    out = out.join(weather_shares(w, cfg), "hive_id", "left").join(dominant_overview(w), "hive_id", "left")
-    return out.fillna(0, ["favorable_weather_window_count", "poor_weather_window_count", "weight_event_count", "excluded_reading_count", "data_quality_issue_days"]).fillna(
-        0.0, ["favorable_weather_weight_slope_pct_per_day", "poor_weather_weight_loss_pct", "delta_kg", "weight_pct_change", "weight_slope_kg_per_day", "weight_slope_pct_per_day"]
-    )
+    return out.fillna(0, ["weight_event_count", "excluded_reading_count", "data_quality_issue_days"])
+
+
+def with_weather(out: DataFrame, days: DataFrame, weather: DataFrame, cfg: Thresholds) -> DataFrame:
+    """out with averages, shares and the most frequent text of the weather of the days with readings; null without weather."""
+    w = on_days(weather, days)
+    return out.join(weather_shares(w, cfg), "hive_id", "left").join(dominant_overview(w), "hive_id", "left")
+
+
+def features(days: DataFrame, events: DataFrame, weather: DataFrame, counts: DataFrame | None, cfg: Thresholds) -> DataFrame:
+    """One wide row per colony with readings, from their day_sums. Colonies without weather keep null averages and counts of 0."""
+    return with_weather(with_counts(movements(days, events, day_types(weather, cfg), cfg), events, counts), days, weather, cfg)
 
 
 def normal_movement(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from combline.config import Thresholds
 from combline.operators import features, quality, regions, scoring, steps
@@ -58,7 +60,7 @@ class Analysis:
 
     @cached_property
     def days(self) -> DataFrame:
-        late = written(steps.step_sums(self.decided.where("kept")), "sums")
+        late = steps.step_sums(self.decided.where("kept"))
         return steps.days_of_sums(quality.sums_of(self.digest).unionByName(late), self.events, lambda: self.judged.where("kept"))
 
     @cached_property
@@ -70,15 +72,39 @@ class Analysis:
         named = placed.groupBy("component").agg(F.min("_site").alias("name"))
         return written(placed.join(named, "component").groupBy(F.col("_site").alias("hive_id")).agg(F.min("name").alias("region_id")), "regions")
 
+    @cached_property
+    def day_types(self) -> DataFrame:
+        return written(features.day_types(self.weather, self.cfg), "types")
+
+    @cached_property
+    def _beside(self) -> Future:
+        """Regions and day types need no readings: their many small jobs run beside the pass over the readings."""
+        pool = ThreadPoolExecutor(1, "combline")
+        begun = pool.submit(inheritable_thread_target(lambda: (self.regions, self.day_types)))
+        pool.shutdown(wait=False)
+        return begun
+
+    @cached_property
+    def movements(self) -> DataFrame:
+        """Rows per colony with what is compared. A colony of a site without a region is in one of its own."""
+        beside, days = self._beside, self.days
+        regions, types = beside.result()
+        moved = features.movements(days, self.events, types, self.cfg)
+        return written(moved.join(regions, "hive_id", "left").withColumn("region_id", F.coalesce("region_id", "hive_id")), "movements")
+
     @cached_property
     def features(self) -> DataFrame:
-        """Wide rows per colony. A colony of a site without a region is in one of its own."""
-        wide = features.features(self.days, self.events, self.weather, quality.quality_counts(self.flags), self.cfg)
-        return written(wide.join(self.regions, "hive_id", "left").withColumn("region_id", F.coalesce("region_id", "hive_id")), "features")
+        """The same with the numbers of events and flags."""
+        return written(features.with_counts(self.movements, self.events, quality.quality_counts(self.flags)), "features")
+
+    @cached_property
+    def described(self) -> DataFrame:
+        """features with averages, shares and the most frequent text of the weather."""
+        return features.with_weather(self.features, self.days, self.weather, self.cfg)
 
     @cached_property
     def comparisons(self) -> DataFrame:
-        return written(scoring.comparisons(self.features, self.cfg.metrics(), self.cfg), "comparisons")
+        return written(scoring.comparisons(self.movements, self.cfg.metrics(), self.cfg), "comparisons")
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -101,8 +127,8 @@ class Analysis:
 
     @cached_property
     def sisters(self) -> DataFrame:
-        return scoring.sister_metrics(self.features, self.comparisons, self.cfg.metrics(), self.cfg)
+        return scoring.sister_metrics(self.movements, self.comparisons, self.cfg.metrics(), self.cfg)
 
     @cached_property
     def sister_sites(self) -> DataFrame:
-        return scoring.sister_sites(self.features, self.sisters, self.cfg)
+        return scoring.sister_sites(self.movements, self.sisters, self.cfg)

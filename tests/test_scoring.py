@@ -1,5 +1,5 @@
 import pytest
-from helpers import frame, readings
+from helpers import START, frame, readings
 
 from combline.config import Thresholds
 from combline.operators import features as ft
@@ -124,3 +124,19 @@ def test_dominant_text_and_empty_weather(spark):
     w = spark.createDataFrame([("H", "b", 1), ("H", "a", 2), ("H", "a", 3), ("H", "b", 4), ("H", "", 5), ("H", None, 6)], "hive_id string, overview string, obs_id long")
     assert ft.dominant_overview(w).first().dominant_weather_overview == "b"
     assert ft.dominant_overview(w.limit(0)).collect() == []
+
+
+def _analysis(spark):
+    """An analysis of two sites whose weather has no texts."""
+    from combline.plans.analysis import Analysis
+
+    r = frame(spark, *(readings([30.0 + k] * 30, hive=h, side=s, drift=0.02 * k) for k, (h, s) in enumerate((h, s) for h in ("H1", "H2") for s in "LR")))
+    weather = spark.createDataFrame([("H1", START.date(), 1, 75.0, 10.0, 50.0)], "hive_id string, observed_date date, weather_code int, temperature_f double, cloudiness_pct double, humidity_pct double")
+    sites = spark.createDataFrame([("H1", 40.0, -80.0), ("H2", 40.01, -80.0)], "hive_id string, latitude double, longitude double")
+    return Analysis(r, weather, sites, CFG)
+
+
+def test_statuses_need_no_texts_of_the_weather(spark):
+    got = {r.colony_id: (r.region_id, r.status, r.favorable_weather_window_count) for r in _analysis(spark).scores.collect()}
+    assert set(got) == {"H1:L", "H1:R", "H2:L", "H2:R"} and {v[0] for v in got.values()} == {"H1"}
+    assert got["H1:L"][2] == 1 and got["H2:L"][2] == 0

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from combline.config import Thresholds
 from combline.operators.outliers import group_chunks, group_starts
@@ -68,7 +68,7 @@ def settling(readings: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFra
     # events of a colony keep apart by more than the confirmation time, so a bucket holds few distinct instants
     near = events.select("colony_id", F.col("wall").alias("e"), F.explode(F.array(bucket(F.col("wall")), bucket(F.col("wall")) + 1)).alias("_b"))
     near = near.groupBy("colony_id", "_b").agg(F.collect_set("e").alias("_es"))
-    out = readings.withColumn("_b", bucket(F.col("wall"))).join(near, ["colony_id", "_b"], "left")
+    out = readings.withColumn("_b", bucket(F.col("wall"))).join(near.hint("shuffle_hash"), ["colony_id", "_b"], "left")
     hit = F.exists("_es", lambda e: (F.col("wall") >= e) & (F.col("wall") <= e + span))
     return out.withColumn("settling", F.coalesce(hit, F.lit(False))).drop("_b", "_es")
 
@@ -262,14 +262,17 @@ def last_seen(digest: DataFrame) -> DataFrame:
     return digest.select("colony_id", F.coalesce("hi", "wall").alias("wall"))
 
 
-_FOLDED = "colony_id string, ord bigint, kept boolean, reasons string, note_kg double, note_n int"
+_SAID = [("kept", "boolean"), ("reasons", "string"), ("note_kg", "double"), ("note_n", "int")]
+_KEPT = (True, None, None, None)
 
 
-def _fold(cfg: Thresholds):
-    """Reads the suspects of each island in order, one batch after another; only the anchor and the pending run are held."""
+def _fold(cfg: Thresholds, own: list[str]):
+    """Reads the suspects of each island in order, one batch after another, and gives their own columns with what is decided on
+    them; only the anchor, the pending run and the batches that this run lies in are held."""
     j = "quality.jumps."
     limit_h, kg, pct, temp, hum = (float(cfg[j + k]) for k in ("max_jump_interval_hours", "max_weight_jump_kg", "max_weight_jump_pct", "max_temp_jump_f", "max_humidity_jump_pct"))
     run = int(cfg[j + "consistent_run_to_accept"])
+    kinds = [_ARROW[k] for _, k in _SAID]
 
     def jumps(a: tuple, b: tuple) -> str:
         hours = (b[0] - a[0]) / 3600.0
@@ -279,43 +282,60 @@ def _fold(cfg: Thresholds):
         found = [n for n, hit in (("weight", dw > kg and (dw / a[1] * 100 if a[1] else 0.0) > pct), ("temperature", abs(b[2] - a[2]) > temp), ("humidity", abs(b[3] - a[3]) > hum)) if hit]
         return ", ".join(found)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, anchor, pending, colony = None, None, [], None
-        out: list[tuple] = []
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, anchor, pending = None, None, []
+        held: list[tuple[pa.RecordBatch, list]] = []
 
         def flush() -> None:
-            out.extend((colony, o, False, why, None, None) for o, _, why in pending)
+            for said, i, _, why in pending:
+                said[i] = (False, why, None, None)
             pending.clear()
 
+        def settled() -> Iterator[pa.RecordBatch]:
+            while held and not (pending and pending[0][0] is held[0][1]):
+                b, said = held.pop(0)
+                more = [pa.array(v, k) for v, k in zip(zip(*said), kinds)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *more], names=[*own, *(c for c, _ in _SAID)])
+
         for b in batches:
-            cols = [b[c].tolist() for c in ("colony_id", "island", "ord", "wall", "w", "t", "h", "bad", "settling", "a_wall", "a_w", "a_t", "a_h")]
-            for c, k, o, wall, w, t, h, bad, settles, aw, a1, a2, a3 in zip(*cols):
-                if (c, k) != island:
+            if not b.num_rows:
+                continue
+            said: list = [None] * b.num_rows
+            held.append((b, said))
+            key = lambda i: (b.column("colony_id")[i].as_py(), b.column("island")[i].as_py())  # noqa: B023, E731
+            new = np.zeros(b.num_rows, bool)
+            new[group_starts(pa.Table.from_batches([b]), ["colony_id", "island"])] = True
+            new[0] = key(0) != island
+            island = key(b.num_rows - 1)
+            bad = b.column("bad").to_pylist()
+            cols = [b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("wall", "w", "t", "h", "settling", "a_wall", "a_w", "a_t", "a_h")]
+            for i, (fresh, faulty, wall, w, t, h, settles, aw, a1, a2, a3) in enumerate(zip(new.tolist(), bad, *cols)):
+                if fresh:
                     flush()
-                    island, colony, anchor = (c, k), c, None if aw != aw or aw is None else (aw, a1, a2, a3)
+                    anchor = None if aw is None or aw != aw else (aw, a1, a2, a3)
                 now = (wall, w, t, h)
-                if bad:
+                if faulty:
                     flush()
-                    out.append((c, o, False, bad, None, None))
+                    said[i] = (False, faulty, None, None)
                     continue
                 why = jumps(anchor, now) if anchor and not settles else ""
                 if not why:
                     flush()
-                    out.append((c, o, True, None, None, None))
+                    said[i] = _KEPT
                     anchor = now
                     continue
-                if pending and jumps(pending[-1][1], now):
+                if pending and jumps(pending[-1][2], now):
                     flush()
-                pending.append((o, now, why))
+                pending.append((said, i, now, why))
                 if len(pending) >= run:
-                    shift = abs(pending[-1][1][1] - anchor[1])
-                    out.extend((c, p, True, None, shift if i == 0 else None, len(pending) if i == 0 else None) for i, (p, _, _) in enumerate(pending))
+                    shift = abs(pending[-1][2][1] - anchor[1])
+                    for k, (those, at, _, _) in enumerate(pending):
+                        those[at] = _KEPT if k else (True, None, shift, len(pending))
                     anchor = now
                     pending.clear()
-            yield pd.DataFrame(out, columns=["colony_id", "ord", "kept", "reasons", "note_kg", "note_n"]).astype({"note_n": "Int32"})
-            out.clear()
+            yield from settled()
         flush()
-        yield pd.DataFrame(out, columns=["colony_id", "ord", "kept", "reasons", "note_kg", "note_n"]).astype({"note_n": "Int32"})
+        yield from settled()
 
     return fold
 
@@ -364,15 +384,15 @@ def decided(some: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame:
     earlier = Window.partitionBy("colony_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select("colony_id", "_blk", *(F.last(f"e_{c}", ignorenulls=True).over(earlier).alias(f"c_{c}") for c in anchors))
     suspects = settling(some.where(~F.col("sure")), events, cfg)
-    first = suspects.withColumn("_blk", block).join(carry, ["colony_id", "_blk"], "left").drop("_blk")
+    first = suspects.withColumn("_blk", block).join(carry.hint("shuffle_hash"), ["colony_id", "_blk"], "left").drop("_blk")
     inside = F.col("a_ord").isNotNull()
     first = first.withColumns({"island": F.coalesce("a_ord", "c_ord")} | {f"a_{c}": F.when(inside, F.col(f"a_{c}")).otherwise(F.col(f"c_{c}")) for c in anchors[1:]})
     first = first.withColumn("island", F.coalesce(F.col("island").cast("string"), F.lit("")))
-    cols = ["colony_id", "island", "seq", "ord", "wall", "w", "t", "h", "bad", "settling", *(f"a_{c}" for c in anchors[1:])]
-    ordered = first.select(*cols).repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq").drop("seq")
-    folded = ordered.mapInPandas(_fold(cfg), _FOLDED)
-    # only suspects are joined to what was decided on them
-    return written(_bare(some.where(~F.col("sure"))).join(folded, ["colony_id", "ord"]), "decided")
+    own = _bare(some).columns
+    ordered = first.select(*own, "island", "bad", "settling", *(f"a_{c}" for c in anchors[1:])).repartition("colony_id", "island").sortWithinPartitions("colony_id", "island", "seq")
+    said = T.StructType([*(some.schema[c] for c in own), *T.StructType.fromDDL(", ".join(map(" ".join, _SAID)))])
+    # rows go through the fold with all their columns, so that nothing is joined to what was decided
+    return written(ordered.mapInArrow(_fold(cfg, own), said), "decided")
 
 
 def quality_flags(judged_readings: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -79,7 +79,7 @@ def confirmed(events: DataFrame, readings: DataFrame, cfg: Thresholds) -> DataFr
     e = events.select("colony_id", F.col("seq").alias("e_seq"), F.col("wall").alias("e_wall")).withColumn("_b", F.explode(F.array(*(bucket(F.col("e_wall")) + k for k in (-1, 0, 1)))))
     # prepared readings know whether a step lies near enough before them
     r = readings.where("w > 0 and after" if "after" in readings.columns else "w > 0").select("colony_id", "seq", "wall", "w", bucket(F.col("wall")).alias("_b"))
-    ahead = e.join(r, ["colony_id", "_b"]).where((F.col("seq") >= F.col("e_seq")) & (F.col("wall") - F.col("e_wall") <= span))
+    ahead = e.hint("shuffle_hash").join(r, ["colony_id", "_b"]).where((F.col("seq") >= F.col("e_seq")) & (F.col("wall") - F.col("e_wall") <= span))
     level = ahead.groupBy("colony_id", F.col("e_seq").alias("seq")).agg(F.percentile("w", F.lit(0.5)).alias("level"))
     kept = F.col("level") - F.col("before")
     ok = (F.col("delta") != 0) & ((kept > 0) == (F.col("delta") > 0)) & (F.abs(kept) >= F.abs("delta") * cfg["events.confirmation_retention"])

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from helpers import frame, readings
 from pyspark.sql import functions as F
 
@@ -222,3 +223,21 @@ def test_digest_where_the_clock_runs_back(spark):
     merged = sums.groupBy("colony_id", "hive_id", "colony_side", "day", "since").agg(*steps._added(), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*steps.STEP_SUMS)
     row = lambda x: sorted((y.colony_id, str(y.day), y.part, y.quiet, y.n, y.w0, y.w1, round(y.sxw, 4)) for y in x.collect())
     assert row(steps.days_of_sums(merged, events, lambda: p)) == row(steps.day_sums(p, events))
+
+
+def test_equal_ids_are_each_decided_once(spark):
+    r = frame(spark, readings([40.0] * 10 + [50.0] + [40.0] * 5), readings([50.0], hours=[10], ord0=10))
+    got = quality.judged(r, steps.detect(r, CFG), CFG)
+    assert got.count() == r.count() == 17 and got.where("not kept").count() == 2
+
+
+def test_the_fold_does_not_depend_on_its_batches():
+    """A run let back in, one that is not, impossible values and new islands, in batches of any size."""
+    w = [40.0, 40.0, 60.0, 60.0, 60.0, 60.0, 40.0, 40.0, 60.0, 500.0, 40.0, 90.0, 90.0, 90.0]
+    rows = [{"colony_id": c, "island": "", "ord": i, "wall": i * 3600, "w": x, "t": 94.0, "h": 55.0, "bad": "weight" if x > 400 else "", "settling": False, "a_wall": None, "a_w": None, "a_t": None, "a_h": None} for c in "AB" for i, x in enumerate(w)]
+    kinds = {"colony_id": pa.string(), "island": pa.string(), "ord": pa.int64(), "wall": pa.int64(), "bad": pa.string(), "settling": pa.bool_(), "a_wall": pa.int64()}
+    table = pa.Table.from_pylist(rows, schema=pa.schema([(c, kinds.get(c, pa.float64())) for c in rows[0]]))
+    got = [[x for b in quality._fold(CFG, ["colony_id", "ord"])(iter(table.to_batches(max_chunksize=n))) for x in b.to_pylist()] for n in (1, 2, 5, 100)]
+    assert all(g == got[0] for g in got) and [(x["colony_id"], x["ord"]) for x in got[0]] == [(x["colony_id"], x["ord"]) for x in rows]
+    assert [x["ord"] for x in got[0] if not x["kept"]] == [6, 7, 9, 10] * 2
+    assert [(x["ord"], x["note_n"], x["note_kg"]) for x in got[0] if x["note_n"]] == [(2, 3, 20.0), (11, 3, 30.0)] * 2

@@ -140,3 +140,9 @@ def test_statuses_need_no_texts_of_the_weather(spark):
     got = {r.colony_id: (r.region_id, r.status, r.favorable_weather_window_count) for r in _analysis(spark).scores.collect()}
     assert set(got) == {"H1:L", "H1:R", "H2:L", "H2:R"} and {v[0] for v in got.values()} == {"H1"}
     assert got["H1:L"][2] == 1 and got["H2:L"][2] == 0
+
+
+def test_z_needs_no_flags(spark):
+    a = _analysis(spark)
+    assert a.comparisons.where("metric = 'latest_weight_kg'").count() == 4
+    assert not {"flags", "features"} & set(vars(a))

@@ -146,3 +146,9 @@ def test_z_needs_no_flags(spark):
     a = _analysis(spark)
     assert a.comparisons.where("metric = 'latest_weight_kg'").count() == 4
     assert not {"flags", "features"} & set(vars(a))
+
+
+def test_sisters_need_no_flags(spark):
+    a = _analysis(spark)
+    worse = {(r.hive_id, r.worse_side) for r in a.sisters.where("metric = 'latest_weight_kg'").collect()}
+    assert worse == {("H1", "L"), ("H2", "L")} and not {"flags", "features"} & set(vars(a))

@@ -152,3 +152,10 @@ def test_sisters_need_no_flags(spark):
     a = _analysis(spark)
     worse = {(r.hive_id, r.worse_side) for r in a.sisters.where("metric = 'latest_weight_kg'").collect()}
     assert worse == {("H1", "L"), ("H2", "L")} and not {"flags", "features"} & set(vars(a))
+
+
+def test_changed_weights_need_no_flags(spark):
+    a = _analysis(spark)
+    got = scoring.rescored(a.comparisons, scoring.one_at_a_time(spark, a.cfg.metrics()), a.cfg)
+    assert got.groupBy("variant").count().where("count = 4").count() == 1 + 4 * len(a.cfg.metrics())
+    assert not {"flags", "features"} & set(vars(a))
